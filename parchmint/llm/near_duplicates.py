@@ -225,8 +225,8 @@ def near_duplicate_groups(df: DataFrame, key: str, words: Column, n: int = 5, th
     group in byte order, ``copies`` counts the class, ``links`` the other classes it is alike. Empty input gives no rows.
     """
     w = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), words.alias("w")).where(F.size("w") >= max(least_words, n))
-    sets = w.select("key", F.array_sort(shingles(F.col("w"), n)).alias("sh")).withColumn("cls", F.xxhash64("sh"))
-    members = cut_lineage(sets.select("key", "cls"))
+    sets = cut_lineage(w.select("key", F.array_sort(shingles(F.col("w"), n)).alias("sh")).withColumn("cls", F.xxhash64("sh")))
+    members = sets.select("key", "cls")
     once = sets.groupBy("cls").agg(F.first("sh").alias("sh"))
     links = cut_lineage(chosen_path_links(once, threshold, trees))
     label = connected_components(links, "a", "b")

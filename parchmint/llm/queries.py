@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from parchmint.llm import near_duplicates
+from parchmint.llm import name_links, near_duplicates
 
 
 def queries() -> dict:
-    return {"p1_found": near_duplicates.p1_found, "p1_groups": near_duplicates.p1_groups}
+    return {"p1_found": near_duplicates.p1_found, "p1_groups": near_duplicates.p1_groups, "p4_found": name_links.p4_found}
 
 
 def oracle_sql() -> dict[str, str]:
