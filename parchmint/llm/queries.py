@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from parchmint.llm import name_links, near_duplicates
+from parchmint.llm import leaks, name_links, near_duplicates, residue
 
 
 def queries() -> dict:
-    return {"p1_found": near_duplicates.p1_found, "p1_groups": near_duplicates.p1_groups, "p4_found": name_links.p4_found}
+    return {
+        "p1_found": near_duplicates.p1_found, "p1_groups": near_duplicates.p1_groups,
+        "p4_found": name_links.p4_found,
+        "p7_found": leaks.p7_found, "p7_items": leaks.p7_items,
+        "p8_found": residue.p8_found, "p8_kinds": residue.p8_kinds,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p7_found": leaks.P7_SQL,
+        "p7_items": f"SELECT item_id, count(*)::BIGINT AS documents FROM ({leaks.P7_SQL}) GROUP BY item_id",
+    }
