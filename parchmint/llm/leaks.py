@@ -111,7 +111,7 @@ def p7_items(spark, sf_dir: str) -> DataFrame:
 
 
 # The same by definition, for the SQL engine: windows of ten words of both sides, joined.
-_WORDS = "list_filter(string_split(trim(regexp_replace(replace(replace(replace(lower(strip_accents(text)),'œ','oe'),'æ','ae'),'ß','ss'),'[^\\p{L}\\p{N}]+',' ','g')),' '), x -> x <> '')"
+_WORDS = "string_split(trim(regexp_replace(replace(replace(replace(lower(strip_accents(text)),'œ','oe'),'æ','ae'),'ß','ss'),'[^\\p{L}\\p{N}]+',' ','g')),' ')"
 P7_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
