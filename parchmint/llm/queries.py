@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from parchmint.llm import leaks, name_links, near_duplicates, personal, residue
+from parchmint.llm import languages, leaks, name_links, near_duplicates, personal, residue
 
 
 def queries() -> dict:
     return {
         "p1_found": near_duplicates.p1_found, "p1_groups": near_duplicates.p1_groups,
         "p2_found": personal.p2_found, "p2_redacted": personal.p2_redacted,
+        "p3_found": languages.p3_found, "p3_pages": languages.p3_pages,
         "p4_found": name_links.p4_found,
         "p7_found": leaks.p7_found, "p7_items": leaks.p7_items,
         "p8_found": residue.p8_found, "p8_kinds": residue.p8_kinds,
