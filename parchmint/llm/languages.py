@@ -22,7 +22,8 @@ GRAMS = 4
 WIDTH = 1 << 14
 LANDMARKS = 256
 RIDGE = 1e-2
-SAMPLE = 3000
+SAMPLE = 1500
+SAMPLE_BLOCKS = 2500
 LEAST_WORDS = 8
 BATCH = 256
 
@@ -65,8 +66,8 @@ def presence(blocks: list[str]) -> np.ndarray:
                 h = h[: len(c) - n + 1] * np.uint64(0x100000001B3) + c[n - 1 :] + np.uint64(n)
                 m = h * np.uint64(0x9E3779B97F4A7C15)
                 out[i, (m >> np.uint64(64 - 14)).astype(np.int64)] = 1
-    norm = np.sqrt(out.sum(axis=1, keepdims=True))
-    return out / np.maximum(norm, 1)
+    out /= np.maximum(np.sqrt(out.sum(axis=1, keepdims=True)), 1)
+    return out
 
 
 def fit(blocks: list[str], labels: list[str], seed: int = 7) -> tuple[np.ndarray, list[str]]:
@@ -107,7 +108,8 @@ def predict(blocks: list[str], g: np.ndarray, langs: list[str]) -> tuple[list[st
 def train(pages: DataFrame) -> tuple[np.ndarray, list[str]] | None:
     """A model of the blocks of about ``SAMPLE`` pages whose label names one language (of all pages, where none is so labelled: None).
 
-    ``pages`` has page_id, text, language. The pages are chosen by a hash of their id, as many of each language as there are.
+    ``pages`` has page_id, text, language. The pages are chosen by a hash of their id, about as many of each language; the fit takes
+    ``SAMPLE_BLOCKS`` of their blocks, which bounds the driver's memory (160 MB).
     """
     code = F.lower(F.trim("language"))
     table = F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv])
@@ -118,7 +120,7 @@ def train(pages: DataFrame) -> tuple[np.ndarray, list[str]] | None:
     share = max(1, SAMPLE // len(sizes))
     every = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, max(1, n // share))])
     rows = known.where(F.pmod(F.xxhash64("page_id"), every[F.col("lang")]) == 0).orderBy(F.xxhash64("page_id")).limit(2 * SAMPLE).collect()
-    pairs = [(b, r.lang) for r in rows for b in blocks_of(r.text) if counts(b)]
+    pairs = [(b, r.lang) for r in rows for b in blocks_of(r.text) if counts(b)][:SAMPLE_BLOCKS]
     if len({v for _, v in pairs}) < 2:
         return None
     return fit([b for b, _ in pairs], [v for _, v in pairs])

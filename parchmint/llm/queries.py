@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parchmint.llm import languages, leaks, name_links, near_duplicates, packing, personal, residue
+from parchmint.llm import languages, leaks, name_links, near_duplicates, packing, personal, residue, scan_noise
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "p2_found": personal.p2_found, "p2_redacted": personal.p2_redacted,
         "p3_found": languages.p3_found, "p3_pages": languages.p3_pages,
         "p4_found": name_links.p4_found,
+        "p5_found": scan_noise.p5_found, "p5_paragraphs": scan_noise.p5_paragraphs,
         "p6_packed": packing.p6_packed, "p6_fill": packing.p6_fill,
         "p7_found": leaks.p7_found, "p7_items": leaks.p7_items,
         "p8_found": residue.p8_found, "p8_kinds": residue.p8_kinds,
@@ -19,6 +20,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_found": scan_noise.p5_found, "p5_paragraphs": scan_noise.p5_paragraphs,
         "p6_packed": packing.p6_packed, "p6_fill": packing.p6_fill,
         "p7_found": leaks.P7_SQL,
         "p7_items": f"SELECT item_id, count(*)::BIGINT AS documents FROM ({leaks.P7_SQL}) GROUP BY item_id",
