@@ -1,4 +1,4 @@
-"""Queries of this subpackage and their SQL."""
+"""Queries of this subpackage and their SQL. Where SQL can't express an operator, tests hold it against brute force."""
 
 from __future__ import annotations
 
@@ -20,8 +20,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p5_found": scan_noise.p5_found, "p5_paragraphs": scan_noise.p5_paragraphs,
-        "p6_packed": packing.p6_packed, "p6_fill": packing.p6_fill,
         "p7_found": leaks.P7_SQL,
         "p7_items": f"SELECT item_id, count(*)::BIGINT AS documents FROM ({leaks.P7_SQL}) GROUP BY item_id",
     }
