@@ -92,7 +92,7 @@ _AMOUNT = r"(-?\d{1,3}(?:[\s  .,']\d{3})*(?:[.,]\d{1,2})?|-?\d+(?:[.,]\d{1,2}
 def amount_after(text: Column, labels: str) -> Column:
     """The last readable amount that follows one of the labels within 40 characters of its line."""
     pattern = rf"(?i)(?:{labels})[^\d\n-]{{0,40}}?{_AMOUNT}"
-    return F.element_at(F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), parse_amount)), -1)
+    return F.try_element_at(F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), parse_amount)), F.lit(-1))
 
 
 # Labels of totals, net amounts and taxes, on unaccented text.
@@ -121,7 +121,7 @@ _NOISE = r"(?i)^(facture|invoice|re[cç]u|ticket|devis|date|page|client|tel|t[é
 
 
 def _lines(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), F.trim)
+    return F.transform(F.split(text, "\n"), lambda x: F.trim(x))
 
 
 def find_company(text: Column) -> Column:
@@ -148,6 +148,10 @@ def invoice_data(text: Column) -> Column:
     return F.struct(find_company(text).alias("company"), invoice_number(text).alias("number"), find_date(text).alias("date"), ht.alias("total_ht"), vat.alias("vat"), ttc.alias("total_ttc"), currency(text).alias("currency"))
 
 
+def _named(word: str):
+    return lambda x: (x == word) | x.startswith(word + " ")
+
+
 def kind_scores(text: Column) -> dict[str, Column]:
     """Score of each kind: every word counts up to three times, phrases double; 3 more where a head line begins with the kind's name."""
     n = F.concat(F.lit(" "), F.coalesce(normalize(text), F.lit("")), F.lit(" "))
@@ -155,7 +159,7 @@ def kind_scores(text: Column) -> dict[str, Column]:
     out = {}
     for kind, (_, words) in KINDS.items():
         parts = [F.least(F.lit(MOST_COUNTED), F.regexp_count(n, F.lit(rf"(?<=\s){w}(?=\s)"))) * (2 if " " in w else 1) for w in words]
-        own = F.when(F.exists(head, lambda x, w=words[0]: (x == w) | x.startswith(w + " ")), OWN_NAME).otherwise(0)
+        own = F.when(F.exists(head, _named(words[0])), OWN_NAME).otherwise(0)
         out[kind] = sum(parts[1:], parts[0]) + own
     return out
 
@@ -206,7 +210,7 @@ _DEVICES = r"(?i)^(con|prn|aux|nul|com\d|lpt\d)$"
 
 def sanitize_file_name(name: Column, fallback: str = "document") -> Column:
     """The last part of a path without control and reserved characters, leading dots or device names, 120 characters at most."""
-    s = F.element_at(F.split(name, r"[\\/]"), -1)
+    s = F.try_element_at(F.split(name, r"[\\/]"), F.lit(-1))
     s = F.regexp_replace(s, r"[\u0000-\u001f\u007f<>:\"|?*]", " ")
     s = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(s, r"[\s ]+", " ")), r"^\.+", ""), r"[. ]+$", "")
     base = F.when(F.locate(".", s) > 1, F.regexp_replace(s, r"\.[^.]*$", "")).otherwise(s)

@@ -55,7 +55,7 @@ def set_filter(pages: Column, ids: list[str] | None, name: str) -> Column:
 
 def page_ranges(spec: Column, n: Column) -> Column:
     """"1-3, 5" as sorted distinct places from 0; null for anything malformed, out of range or empty."""
-    parts = F.filter(F.transform(F.split(spec, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(spec, ","), lambda x: F.trim(x)), lambda p: p != "")
     ends = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^(\d{1,9})", 1).alias("a"), F.coalesce(F.nullif(F.regexp_extract(p, r"-\s*(\d{1,9})$", 1), F.lit("")), F.regexp_extract(p, r"^(\d{1,9})", 1)).alias("b"), p.alias("p")))
     ok = F.forall(ends, lambda e: e["p"].rlike(r"^\d{1,9}(\s*-\s*\d{1,9})?$") & (F.expr("1") <= e["a"].try_cast("int")) & (e["a"].try_cast("int") <= e["b"].try_cast("int")) & (e["b"].try_cast("int") <= n))
     places = F.flatten(F.transform(ends, lambda e: F.sequence(e["a"].try_cast("int") - 1, e["b"].try_cast("int") - 1)))

@@ -65,7 +65,7 @@ MONTHS_EN = ["january", "february", "march", "april", "may", "june", "july", "au
 
 def date_tokens(ts: Column) -> Column:
     """Words by which a date can be searched: year, ISO, d/m/y, French and English month; null for null."""
-    names = lambda ms: F.element_at(F.array(*[F.lit(m) for m in ms]), F.month(ts))
+    names = lambda ms: F.try_element_at(F.array(*[F.lit(m) for m in ms]), F.month(ts))
     return F.when(
         ts.isNotNull(),
         F.concat_ws(" ", F.date_format(ts, "yyyy"), F.date_format(ts, "yyyy-MM"), F.date_format(ts, "yyyy-MM-dd"), F.date_format(ts, "dd/MM/yyyy"), names(MONTHS_FR), names(MONTHS_EN)),

@@ -156,4 +156,4 @@ def with_snippets(hits: DataFrame, docs: DataFrame, query: str) -> DataFrame:
 def without_overlaps(ranges: Column) -> Column:
     """Sorted highlight ranges (start, end) without those that begin inside one kept before."""
     empty = F.array().cast("array<array<int>>")
-    return F.aggregate(F.array_sort(ranges), empty, lambda acc, r: F.when((F.size(acc) == 0) | (r[0] >= F.element_at(acc, -1)[1]), F.concat(acc, F.array(r))).otherwise(acc))
+    return F.aggregate(F.array_sort(ranges), empty, lambda acc, r: F.when((F.size(acc) == 0) | (r[0] >= F.try_element_at(acc, F.lit(-1))[1]), F.concat(acc, F.array(r))).otherwise(acc))
