@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 # Advance widths (thousandths of the size) of the printable ASCII characters, from the space on.
 _ASCII = [
@@ -54,36 +55,43 @@ def helvetica_width(data: bytes, size: float) -> float:
     return sum(_WIDTHS[b] for b in data) * size / 1000
 
 
+@lru_cache(maxsize=100_000)
 def measure(text: str, size: float) -> float:
     return helvetica_width(win_ansi(text), size)
 
 
 def break_lines(text: str, most: float, width: Callable[[str], float]) -> list[str]:
-    """Greedy lines: breaks at spaces and line feeds, words that are too long are cut, spaces at line ends dropped."""
+    """Greedy lines: breaks at spaces and line feeds, words that are too long are cut, spaces at line ends dropped.
+
+    ``width`` adds up over parts of a text (no kerning), so every word is measured once.
+    """
     lines: list[str] = []
     for hard in text.split("\n"):
-        now = ""
+        now: list[str] = []
+        used = 0.0
         for token in re.findall(r"\S+|\s+", hard):
+            w = width(token)
             if token.isspace():
-                now += token if now else ""
+                if now:
+                    now.append(token)
+                    used += w
                 continue
-            while True:
-                if width(now + token) <= most:
-                    now += token
-                    break
-                if now.strip():
-                    lines.append(now.rstrip())
-                    now = ""
-                    continue
-                k = len(token)
-                while k > 1 and width(token[:k]) > most:
-                    k -= 1
+            if used + w > most and now:
+                lines.append("".join(now).rstrip())
+                now, used = [], 0.0
+            while w > most:
+                k, part = 0, 0.0
+                while k < len(token) and (k == 0 or part + width(token[k]) <= most):
+                    part += width(token[k])
+                    k += 1
                 if k == len(token):
-                    now = token
                     break
                 lines.append(token[:k])
                 token = token[k:]
-        lines.append(now.rstrip())
+                w = width(token)
+            now.append(token)
+            used += w
+        lines.append("".join(now).rstrip())
     return lines
 
 

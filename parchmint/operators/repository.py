@@ -166,11 +166,11 @@ def trash_documents(docs: DataFrame, ids: list[str], at: str) -> DataFrame:
     return docs.withColumn("deleted_at", F.when(F.col("id").isin(ids), F.coalesce("deleted_at", F.lit(at).cast("timestamp"))).otherwise(F.col("deleted_at")))
 
 
-def restore_documents(docs: DataFrame, folders: DataFrame, ids: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Documents out of the trash; a folder that is gone becomes the root, one in the trash lives again."""
+def restore_documents(docs: DataFrame, folders: DataFrame, ids: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """Documents (None: all) out of the trash; a folder that is gone becomes the root, one in the trash lives again."""
     have = folders.select(F.col("id").alias("_f"))
     d = docs.join(have, docs["folder_id"] == F.col("_f"), "left")
-    hit = F.col("id").isin(ids)
+    hit = F.lit(True) if ids is None else F.col("id").isin(ids)
     d = d.withColumn("folder_id", F.when(hit & F.col("_f").isNull(), F.lit(None)).otherwise(F.col("folder_id"))).withColumn("deleted_at", F.when(hit, F.lit(None)).otherwise(F.col("deleted_at"))).drop("_f")
     again = docs.where(hit).select(F.col("folder_id").alias("_g")).distinct()
     f = folders.join(again, folders["id"] == F.col("_g"), "left").withColumn("deleted_at", F.when(F.col("_g").isNotNull(), F.lit(None)).otherwise(F.col("deleted_at"))).drop("_g")
