@@ -31,6 +31,11 @@ _PLAIN = r"[̀-ͯ]"
 _SP = r"[\s  ]"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def parse_amount(s: Column) -> Column:
     """The number that an amount is written for: the last of comma and point is the decimal mark; cents; null where none."""
     t = F.regexp_replace(s, r"[\s  ']", "")
@@ -66,24 +71,31 @@ def find_date(text: Column) -> Column:
     named = r"(?<![a-z0-9_])(\d{1,2})(?:er)?\.?\s+([a-z]{3,9})\.?\s+(\d{4})(?![a-z0-9_])"
     months = F.create_map(*[F.lit(x) for kv in _MONTH.items() for x in kv])
 
-    def parts(source: Column, pattern: str, order: str) -> Column:
-        g = {"y": 1, "m": 2, "d": 3} if order == "ymd" else {"d": 1, "m": 2, "y": 3}
-        found = F.regexp_extract_all(source, F.lit(pattern), F.lit(0))
-        return F.transform(
-            found,
-            lambda x, i: F.struct(
-                F.lit(0).alias("idx"), F.regexp_extract(x, pattern, g["y"]).cast("int").alias("y"),
-                (months[F.regexp_extract(x, pattern, 2)] if order == "named" else F.regexp_extract(x, pattern, g["m"]).cast("int")).alias("m"), F.regexp_extract(x, pattern, g["d"]).cast("int").alias("d"), x.alias("t"),
-            ),
-        )
-
-    first_iso = F.slice(parts(text, iso, "ymd"), 1, 1)
-    dmy = F.transform(parts(text, hit, "dmy"), lambda c: F.struct(c["idx"].alias("idx"), F.when(c["y"] < 100, c["y"] + 2000).otherwise(c["y"]).alias("y"), c["m"].alias("m"), c["d"].alias("d"), c["t"].alias("t")))
-    plausible = lambda c: c["m"].between(1, 12) & c["d"].between(1, 31) & c["y"].between(1990, 2100)
-    place = lambda source: lambda c: F.struct(F.instr(source, c["t"]).alias("idx"), c["y"].alias("y"), c["m"].alias("m"), c["d"].alias("d"))
-    firsts = [F.transform(F.slice(F.filter(a, plausible), 1, 1), place(s)) for a, s in ((first_iso, text), (dmy, text), (parts(low, named, "named"), low))]
-    best = F.array_min(F.concat(*firsts))
-    return F.when(best.isNotNull(), _iso(best["y"], best["m"], best["d"]))
+    def first(source: Column, found: Column, read) -> Column:
+        """The first plausible of the found dates, as struct of its place, year, month and day."""
+        dates = F.transform(found, lambda x: let(read(x), lambda v: F.struct(x.alias("t"), v["y"].alias("y"), v["m"].alias("m"), v["d"].alias("d"))))
+        good = F.get(F.filter(dates, lambda c: c["m"].between(1, 12) & c["d"].between(1, 31) & c["y"].between(1990, 2100)), F.lit(0))
+        return let(good, lambda c: F.when(c.isNotNull(), F.struct(F.instr(source, c["t"]).alias("idx"), c["y"].alias("y"), c["m"].alias("m"), c["d"].alias("d"))))
+
+    def ymd(y: Column, m: Column, d: Column) -> Column:
+        return F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
+
+    def by_signs(order: tuple[int, int, int]):
+        def read(x: Column) -> Column:
+            return let(F.transform(F.split(x, "[/.-]"), lambda p: p.cast("int")), lambda p: ymd(F.when((p[order[0]] < 100), p[order[0]] + 2000).otherwise(p[order[0]]), p[order[1]], p[order[2]]))
+
+        return read
+
+    def by_name(x: Column) -> Column:
+        return ymd(F.regexp_extract(x, named, 3).cast("int"), months[F.regexp_extract(x, named, 2)], F.regexp_extract(x, named, 1).cast("int"))
+
+    every = lambda source, p: F.regexp_extract_all(source, F.lit(p), F.lit(0))
+    firsts = F.array(
+        first(text, F.filter(F.array(F.regexp_extract(text, iso, 0)), lambda x: x != ""), by_signs((0, 1, 2))),
+        first(text, every(text, hit), by_signs((2, 1, 0))),
+        let(low, lambda t: first(t, every(t, named), by_name)),
+    )
+    return let(F.array_min(firsts), lambda best: F.when(best.isNotNull(), _iso(best["y"], best["m"], best["d"])))
 
 
 _AMOUNT = r"(-?\d{1,3}(?:[\s  .,']\d{3})*(?:[.,]\d{1,2})?|-?\d+(?:[.,]\d{1,2})?)"
@@ -148,30 +160,39 @@ def invoice_data(text: Column) -> Column:
     return F.struct(find_company(text).alias("company"), invoice_number(text).alias("number"), find_date(text).alias("date"), ht.alias("total_ht"), vat.alias("vat"), ttc.alias("total_ttc"), currency(text).alias("currency"))
 
 
-def _named(word: str):
-    return lambda x: (x == word) | x.startswith(word + " ")
+def kind_scores(text: Column) -> Column:
+    """Scores in the order of ``KINDS``: every word counts up to three times, phrases double; 3 more where a head line begins with the kind's name.
+
+    Words are counted between spaces; every space of the text is doubled, so neighbours don't share one. The words are one
+    literal array, so the expression stays small.
+    """
+    words = [w for _, ws in KINDS.values() for w in ws]
+    table = F.array(*[F.lit(f" {w.replace(' ', '  ')} ") for w in words])
+    weight = F.array(*[F.lit(2 if " " in w else 1) for w in words])
+    first = [0]
+    for _, ws in KINDS.values():
+        first.append(first[-1] + len(ws))
+    own = F.array(*[F.lit(ws[0]) for _, ws in KINDS.values()])
+    bounds = F.array(*[F.lit(i) for i in first])
+    n = F.replace(F.concat(F.lit(" "), F.coalesce(normalize(text), F.lit("")), F.lit(" ")), F.lit(" "), F.lit("  "))
+    head = F.transform(F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, 8), lambda x: normalize(x))
+    counts = let(n, lambda t: F.transform(table, lambda w, i: F.least(F.lit(MOST_COUNTED), ((F.octet_length(t) - F.octet_length(F.replace(t, w, F.lit("")))) / F.length(w)).cast("int")) * F.get(weight, i)))
 
+    def score(b: Column):
+        def one(name: Column, k: Column) -> Column:
+            part = F.slice(b["counts"], F.get(bounds, k) + 1, F.get(bounds, k + 1) - F.get(bounds, k))
+            named = F.exists(b["head"], lambda x: (x == name) | F.startswith(x, F.concat(name, F.lit(" "))))
+            return F.aggregate(part, F.lit(0), lambda s, v: s + v) + F.when(named, OWN_NAME).otherwise(0)
 
-def kind_scores(text: Column) -> dict[str, Column]:
-    """Score of each kind: every word counts up to three times, phrases double; 3 more where a head line begins with the kind's name."""
-    n = F.concat(F.lit(" "), F.coalesce(normalize(text), F.lit("")), F.lit(" "))
-    head = F.transform(F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, 8), normalize)
-    out = {}
-    for kind, (_, words) in KINDS.items():
-        parts = [F.least(F.lit(MOST_COUNTED), F.regexp_count(n, F.lit(rf"(?<=\s){w}(?=\s)"))) * (2 if " " in w else 1) for w in words]
-        own = F.when(F.exists(head, _named(words[0])), OWN_NAME).otherwise(0)
-        out[kind] = sum(parts[1:], parts[0]) + own
-    return out
+        return F.transform(own, one)
+
+    return let(F.struct(counts.alias("counts"), head.alias("head")), score)
 
 
 def classify(text: Column) -> Column:
     """The kind with the greatest score of at least 4, the first in the table's order on ties; null where none."""
-    s = kind_scores(text)
-    most = F.greatest(*s.values())
-    k = F.when(most < KIND_THRESHOLD, F.lit(None).cast("string"))
-    for kind, v in s.items():
-        k = k.when(v == most, kind)
-    return k
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return let(kind_scores(text), lambda s: F.when(F.array_max(s) >= KIND_THRESHOLD, F.get(names, F.array_position(s, F.array_max(s)).cast("int") - 1)))
 
 
 def kind_label(kind: Column) -> Column:

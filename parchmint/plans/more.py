@@ -13,6 +13,7 @@ from parchmint.operators import duplicates as D
 from parchmint.operators import levels as V
 from parchmint.operators import repository as R
 from parchmint.plans.registry import AS_OF, DOCS, PAGES, SEARCH, docs, page_rows, query, search_rows, table
+from parchmint.session import spread
 
 _LIST = "range(0, greatest(coalesce(page_count, 0), 0))"
 
@@ -143,7 +144,7 @@ def _cross(o, a, b):
 @query(f"SELECT l_orderkey, l_linenumber, round({' + '.join(_dist(_Q[i], _Q[(i + 1) % 4]) for i in range(4))}, 6) AS perimeter, {' AND '.join(_cross(_Q[i], _Q[(i + 1) % 4], _Q[(i + 2) % 4]) + ' > 0' for i in range(4))} AS convex FROM lineitem")
 def quad_measures(spark, d):
     """Perimeter and convexity of quads made of columns."""
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(G.perimeter(_quad()), 6).alias("perimeter"), G.is_convex(_quad()).alias("convex"))
+    return spread(table(spark, d, "lineitem")).select("l_orderkey", "l_linenumber", F.round(G.perimeter(_quad()), 6).alias("perimeter"), G.is_convex(_quad()).alias("convex"))
 
 
 @query("SELECT p_partkey, (77 * r + 150 * g + 29 * b) // 256 AS gray, CASE WHEN (77 * r + 150 * g + 29 * b) // 256 > 120 THEN 255 ELSE 0 END AS bit FROM (SELECT p_partkey, p_size * 5 AS r, (p_partkey * 7) % 256 AS g, (p_partkey * 13) % 256 AS b FROM part)")

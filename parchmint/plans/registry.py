@@ -15,6 +15,7 @@ from parchmint.operators import levels as V
 from parchmint.operators import repository as R
 from parchmint.operators import search as S
 from parchmint.operators.current import current_rows
+from parchmint.session import spread
 
 AS_OF = "2026-01-15 00:00:00"
 QUERIES: dict = {}
@@ -329,7 +330,8 @@ def currencies_and_numbers(spark, d):
 
 def _classify_sql() -> str:
     def count(w: str) -> str:
-        return f"least(3, (length(n) - length(replace(n, ' {w} ', ' '))) // {len(w) + 1})"
+        w = f" {w.replace(' ', '  ')} "
+        return f"least(3, (length(n) - length(replace(n, '{w}', ''))) // {len(w)})"
 
     def score(kind: str) -> str:
         words = A.KINDS[kind][1]
@@ -341,19 +343,19 @@ def _classify_sql() -> str:
     best = "greatest(" + ", ".join(f'"{k}"' for k in names) + ")"
     pick = " ".join(f"WHEN \"{k}\" = {best} THEN '{k}'" for k in names)
     # every space doubled, so that neighbouring words can both be counted
-    return f"SELECT doc_id, CASE WHEN {best} < 4 THEN NULL {pick} END AS kind FROM (SELECT doc_id, {cols} FROM (SELECT doc_id, ' ' || {norm('text')} || ' ' AS n, {head} AS h FROM documents))"
+    return f"SELECT doc_id, CASE WHEN {best} < 4 THEN NULL {pick} END AS kind FROM (SELECT doc_id, {cols} FROM (SELECT doc_id, replace(' ' || {norm('text')} || ' ', ' ', '  ') AS n, {head} AS h FROM documents))"
 
 
 @query(_classify_sql())
 def classified_documents(spark, d):
     """The kind of every document by its words."""
-    return table(spark, d, "documents").select("doc_id", A.classify(F.col("text")).alias("kind"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", A.classify(F.col("text")).alias("kind"))
 
 
 @query()
 def invoices_from_text(spark, d):
     """Invoice data, title and tags read from every document."""
-    df = table(spark, d, "documents").select("doc_id", "text", A.classify(F.col("text")).alias("kind"), A.invoice_data(F.col("text")).alias("inv"))
+    df = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "text", A.classify(F.col("text")).alias("kind"), A.invoice_data(F.col("text")).alias("inv"))
     return df.select("doc_id", "kind", "inv.*", A.suggest_title(F.col("text"), F.col("kind"), F.col("inv")).alias("title"), F.array_join(A.suggest_tags(F.col("text"), F.col("kind"), F.col("inv")), ",").alias("tags"))
 
 
@@ -422,7 +424,7 @@ def quad_areas(spark, d):
     """Areas of quads made of columns: arithmetic inside the generated code, no Python."""
     q, t, c = F.col("l_quantity"), F.col("l_tax") * 100, F.col("l_discount") * 100
     quad = F.array(G.point(q + 1, c), G.point(q + 40, t), G.point(q + 44, t + 60), G.point(q - 3, c + 55))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(G.polygon_area(quad), 6).alias("area"))
+    return spread(table(spark, d, "lineitem")).select("l_orderkey", "l_linenumber", F.round(G.polygon_area(quad), 6).alias("area"))
 
 
 # -- events as frames -------------------------------------------------------------------------------------------------------------
