@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +40,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that workers can import it wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    path = Path(tempfile.mkdtemp(prefix="parchmint-code-")) / "parchmint.zip"  # served by the driver, read nowhere else
+    path.write_bytes(body.getvalue())
+    sc.addPyFile(str(path))
+    _SHIPPED.add(sc.applicationId)
+
+
+def shipped(query):
+    """A query that sends the package first."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    run.__name__, run.__doc__ = query.__name__, query.__doc__
+    return run
+
+
 def spread(df: DataFrame) -> DataFrame:
     """At least one partition per core in front of a costly map over a scan; a scan that has them stays as it is.
 
