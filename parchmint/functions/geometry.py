@@ -166,22 +166,35 @@ def fit_line(x: Column, y: Column) -> Column:
 
 # Page sizes in points; quality profiles as longest side and JPEG quality.
 PAGE_SIZES = {"A4": (595.28, 841.89), "Letter": (612.0, 792.0)}
-PROFILES = {"light": (1400, 0.55), "standard": (2200, 0.75), "high": (3508, 0.9)}
+PROFILES = {"small": (1400, 0.55), "standard": (2200, 0.75), "high": (3508, 0.9)}
 
 
 def layout_page(width: Column, height: Column, size: str = "A4", orientation: str = "auto", margin: float = 0.0) -> Column:
     """Struct of page width and height and the picture's x, y, w, h: contained in the page inside its margins, centred."""
     pw, ph = PAGE_SIZES.get(size, (0.0, 0.0))
     if size == "auto":
-        page_w, page_h = width * 72 / 150 + 2 * margin, height * 72 / 150 + 2 * margin
+        scale = (PAGE_SIZES["A4"][1] - 2 * margin) / F.greatest(width, height)  # the picture's shape, as long as A4
+        page_w, page_h = width * scale + 2 * margin, height * scale + 2 * margin
     else:
         landscape = F.lit(orientation == "landscape") if orientation != "auto" else width > height
         page_w, page_h = F.when(landscape, F.lit(ph)).otherwise(F.lit(pw)), F.when(landscape, F.lit(pw)).otherwise(F.lit(ph))
-    s = F.least((page_w - 2 * margin) / width, (page_h - 2 * margin) / height)
+    inner = lambda v: F.greatest(F.lit(1.0), v - 2 * margin)
+    s = F.least(inner(page_w) / width, inner(page_h) / height)
     w, h = width * s, height * s
     return F.struct(page_w.alias("page_w"), page_h.alias("page_h"), ((page_w - w) / 2).alias("x"), ((page_h - h) / 2).alias("y"), w.alias("w"), h.alias("h"))
 
 
+def estimate_pdf_size(pages: Column, profile: str = "standard") -> Column:
+    """Bytes of an export: pages (width, height, grayscale) reduced to the profile's longest side, at its bits for each pixel."""
+    side, quality = PROFILES[profile]
+
+    def page(p: Column) -> Column:
+        s = F.least(F.lit(1.0), side / F.greatest(p["width"], p["height"]))
+        return p["width"] * s * p["height"] * s * (0.25 + quality * quality * 1.9) * F.when(p["grayscale"], 0.6).otherwise(1.0) / 8 + 900
+
+    return F.floor(F.aggregate(pages, F.lit(1200.0), lambda a, p: a + page(p)) + 0.5).cast("bigint")
+
+
 # -- numpy: per object, not per column ----------------------------------------------------------------------------------
 def convex_hull(points: np.ndarray) -> np.ndarray:
     """Corners of the hull, counter-clockwise in a system with y upwards; collinear points are left out."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 TRASH_DAYS, MOST_HISTORY, MOST_TAGS, MOST_NOTES = 30, 500, 30, 20_000
 # Labels of document sources.
-FORMATS = {"pdf": "PDF", "image": "Image", "docx": "Word", "xlsx": "Excel", "pptx": "PowerPoint", "txt": "Texte", "merge": "Fusion", "split": "Extrait"}
+FORMATS = {"pdf": "PDF", "image": "Image", "docx": "Word", "xlsx": "Excel", "pptx": "PowerPoint", "txt": "Texte"}
 
 
 def current_documents(versions: DataFrame) -> DataFrame:

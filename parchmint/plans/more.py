@@ -65,12 +65,11 @@ def split_documents(spark, d):
     return _pages(docs(spark, d)).select("id", F.coalesce(F.size(P.split_every(F.col("pages"), 2)), F.lit(1)).alias("parts"))
 
 
-@query(f"SELECT id, 1200 + coalesce(list_sum(list_transform({_LIST}, lambda i: (i + 10) * (i * 2 + 20) * (0.25 + 1.9 * 0.75 * 0.75) / 8 + 900)), 0) AS bytes FROM {DOCS}")
+@query(f"SELECT id, floor(1200 + coalesce(list_sum(list_transform({_LIST}, lambda i: (i + 10) * (i * 2 + 20) * (0.25 + 0.75 * 0.75 * 1.9) * (CASE WHEN i % 2 = 0 THEN 0.6 ELSE 1 END) / 8 + 900)), 0) + 0.5)::BIGINT AS bytes FROM {DOCS}")
 def estimated_pdf_sizes(spark, d):
-    """Expected size of an export at the standard quality."""
-    bpp = 0.25 + 1.9 * G.PROFILES["standard"][1] ** 2
-    total = F.aggregate("pages", F.lit(0.0), lambda s, p: s + p["width"] * p["height"] * bpp / 8 + 900)
-    return _pages(docs(spark, d)).select("id", (total + 1200).alias("bytes"))
+    """Expected size of an export at the standard quality; every other page is gray."""
+    pages = F.transform(F.col("pages"), lambda p, i: p.withField("grayscale", i % 2 == 0))
+    return _pages(docs(spark, d)).select("id", G.estimate_pdf_size(pages).alias("bytes"))
 
 
 @query(f"SELECT page_id, CASE WHEN height > width THEN 595.28 ELSE 841.89 END AS page_w, round(width * least((CASE WHEN height >= width THEN 595.28 ELSE 841.89 END - 40) / width, (CASE WHEN height >= width THEN 841.89 ELSE 595.28 END - 40) / height), 4) AS w FROM (SELECT DISTINCT page_id, width, height FROM ocr_results)")

@@ -274,7 +274,7 @@ def merged_backup(spark, d):
     return R.merge_by(first, best, "id", "revision").select("id", "revision", "title")
 
 
-@query(f"SELECT id, regexp_matches(trim(title), '(?i)^(scan|document|import|numérisation|page)\\b[\\s\\d:/.,h-]*$') OR starts_with(title, 'Scan du ') AS generic, CASE source WHEN 'pdf' THEN 'PDF' WHEN 'image' THEN 'Image' WHEN 'docx' THEN 'Word' WHEN 'xlsx' THEN 'Excel' WHEN 'pptx' THEN 'PowerPoint' WHEN 'txt' THEN 'Texte' WHEN 'merge' THEN 'Fusion' WHEN 'split' THEN 'Extrait' ELSE 'Scan' END AS label FROM {DOCS} WHERE title IS NOT NULL")
+@query(f"SELECT id, regexp_matches(trim(title), '(?i)^(scan|document|import|numérisation|page)\\b[\\s\\d:/.,h-]*$') OR starts_with(title, 'Scan du ') AS generic, CASE source WHEN 'pdf' THEN 'PDF' WHEN 'image' THEN 'Image' WHEN 'docx' THEN 'Word' WHEN 'xlsx' THEN 'Excel' WHEN 'pptx' THEN 'PowerPoint' WHEN 'txt' THEN 'Texte' ELSE 'Scan' END AS label FROM {DOCS} WHERE title IS NOT NULL")
 def titles_and_labels(spark, d):
     return docs(spark, d).where("title is not null").select("id", A.is_default_title(F.col("title")).alias("generic"), R.format_label(F.col("source")).alias("label"))
 

@@ -29,24 +29,28 @@ def looks_like_text(sample: bytes) -> bool:
     """No NUL and under 2 % of control characters (escape is allowed); empty is text."""
     if not sample:
         return True
-    odd = sum(c < 32 and c not in (9, 10, 12, 13, 27) for c in sample)
+    odd = sum(c < 9 or 13 < c < 32 and c != 27 for c in sample)
     return 0 not in sample and odd / len(sample) < 0.02
 
 
 # First bytes of known types, in the order of trial.
-SIGNATURES = [(b"\xff\xd8\xff", "jpeg"), (b"\x89PNG\r\n\x1a\n", "png"), (b"GIF8", "gif"), (b"BM", "bmp"), (b"II*\x00", "tiff"), (b"MM\x00*", "tiff"), (b"PK\x03\x04", "zip"), (b"PK\x05\x06", "zip"), (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "ole")]
+SIGNATURES = [(b"\xff\xd8\xff", "jpeg"), (b"\x89PNG", "png"), (b"GIF8", "gif"), (b"BM", "bmp"), (b"II*\x00", "tiff"), (b"MM\x00*", "tiff"), (b"PK\x03\x04", "zip"), (b"PK\x03\x06", "zip"), (b"PK\x05\x04", "zip"), (b"PK\x05\x06", "zip"), (b"\xd0\xcf\x11\xe0", "ole")]
+HEIC = (b"heic", b"heix", b"mif1", b"heif")
 
 
 def sniff(data: bytes) -> str:
-    for mark, kind in SIGNATURES:
-        if data.startswith(mark):
-            return kind
+    """The type by content; a PDF header may have up to 1,024 bytes before it."""
     if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
         return "webp"
-    if data[4:8] == b"ftyp" and data[8:12] in (b"heic", b"heix", b"mif1", b"hevc"):
+    if data[4:8] == b"ftyp" and data[8:12] in HEIC:
         return "heic"
-    if b"%PDF-" in data[:1024]:
+    kind = next((k for mark, k in SIGNATURES if data.startswith(mark) and not (k == "bmp" and len(data) <= 26)), None)
+    if kind in ("zip", "ole", None) and b"%PDF-" in data[:1024]:
         return "pdf"
+    if kind:
+        return kind
+    if re.match(rb"^\s*(<\?xml[^>]*>\s*)?<svg[\s>]", data[:1024], re.I):
+        return "svg"
     return "text" if looks_like_text(data[:4096]) else "unknown"
 
 
@@ -355,24 +359,25 @@ def read_document(name: str, data: bytes) -> tuple[str, list[dict]]:
     if not data:
         raise PackageError("empty")
     kind, ext = sniff(data), name.rsplit(".", 1)[-1].lower() if "." in name else ""
-    if ext in ("exe", "js", "bat", "cmd", "sh", "msi", "scr", "html", "htm", "svg"):
+    group = "image" if kind in ("jpeg", "png", "webp", "gif", "bmp") else {"pdf": "pdf", "zip": "office", "text": "text"}.get(kind)
+    if kind == "svg" or kind == "text" and ext in ("html", "htm", "js", "xml", "svg"):
         raise PackageError("dangerous")
     if kind == "ole":
         raise PackageError("legacy-office")
+    if group and len(data) > LIMITS[group]:
+        raise PackageError("too-large")
     if kind == "zip":
         files = read_zip(data)
         office = ooxml_kind(files.get("[Content_Types].xml", b"").decode("utf-8", "replace"))
         if office is None:
             raise PackageError("unsupported")
-        if ext in ("docx", "xlsx", "pptx") and ext != office:
-            raise PackageError("mismatch")
         return office, {"docx": parse_docx, "xlsx": parse_xlsx, "pptx": parse_pptx}[office](files)
     if kind == "text":
-        if ext in ("pdf", "png", "jpg", "jpeg", "docx", "xlsx", "pptx"):
+        if ext not in ("txt", "text", "md", "csv", "log", ""):
             raise PackageError("mismatch")
         return "txt", parse_txt(data)
-    if kind in ("pdf", "jpeg", "png", "webp"):
-        return kind, []
+    if group in ("pdf", "image"):
+        return group, []
     raise PackageError("unsupported")
 
 

@@ -294,7 +294,7 @@ def test_packages(spark):
     assert x.name == "r" and x.attrs["x"] == "1 & 2" and x.text() == "<b> é€<raw>&e;"
     assert Q.decode_entities("&#233;&#x20AC;&nope;&lt;") == "é€&nope;<"
     assert Q.parse_txt("Première\nDeuxième ligne".encode("cp1252"))[1]["text"] == "Deuxième ligne"
-    for name, data, code in (("x.pdf", b"hello", "mismatch"), ("x.doc", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1..", "legacy-office"), ("x", b"", "empty"), ("x.exe", b"MZ", "dangerous")):
+    for name, data, code in (("x.pdf", b"hello", "mismatch"), ("x.doc", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1..", "legacy-office"), ("x", b"", "empty"), ("x.html", b"<p>", "dangerous"), ("x.png", b"<svg >", "dangerous"), ("x.bin", b"\x00\x01", "unsupported")):
         with pytest.raises(Q.PackageError, match=code):
             Q.read_document(name, data)
     files = spark.createDataFrame([("a.docx", W.build_docx("T", ["u"])), ("b.docx", z), ("c.txt", b"Notes")], "path string, content binary")
