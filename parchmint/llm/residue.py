@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
