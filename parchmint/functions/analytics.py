@@ -28,7 +28,6 @@ MONTHS = [
 ]
 _MONTH = {w: i for i, ws in enumerate(MONTHS, 1) for w in ws.split()}
 _PLAIN = r"[̀-ͯ]"
-_SP = r"[\s  ]"
 
 
 def let(value: Column, body) -> Column:

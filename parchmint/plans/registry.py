@@ -416,7 +416,6 @@ def fitted_lines(spark, d):
     return o.where("l is not null").select("g", F.round("l.x", 6).alias("x"), F.round("l.y", 6).alias("y"), F.round("l.dx", 6).alias("dx"))
 
 
-_XY = "[(l_quantity + 1, l_discount * 100), (l_quantity + 40, l_tax * 100), (l_quantity + 44, l_tax * 100 + 60), (l_quantity - 3, l_discount * 100 + 55)]"
 
 
 @query("SELECT l_orderkey, l_linenumber, round(abs((l_quantity+1)*(l_tax*100) - (l_quantity+40)*(l_discount*100) + (l_quantity+40)*(l_tax*100+60) - (l_quantity+44)*(l_tax*100) + (l_quantity+44)*(l_discount*100+55) - (l_quantity-3)*(l_tax*100+60) + (l_quantity-3)*(l_discount*100) - (l_quantity+1)*(l_discount*100+55)) / 2, 6) AS area FROM lineitem")

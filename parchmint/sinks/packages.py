@@ -92,11 +92,11 @@ def hex_literal(b: bytes) -> str:
     return f"<{b.hex()}>"
 
 
-def build_pdf(title: str, pages: list[dict], footer: bool = True, watermark: str = "", now: datetime = EPOCH) -> bytes:
+def build_pdf(title: str, pages: list[dict], footer: bool = True, watermark: str = "", now: datetime = EPOCH, protection=None) -> bytes:
     """PDF 1.7 of pages with width, height (points) and words (text, x, y, w, h from the top left corner).
 
     A page may bring ``jpeg`` (bytes, pixel width and height): its words then lie invisibly above the picture, else they are
-    shown. Streams are compressed. The same input gives the same bytes.
+    shown. Streams are compressed. The same input gives the same bytes, unless a ``pdf_security.Protection`` is given.
     """
     objects: list[bytes] = []
 
@@ -104,8 +104,10 @@ def build_pdf(title: str, pages: list[dict], footer: bool = True, watermark: str
         objects.append(body)
         return len(objects)
 
+    sealed = protection.encrypt if protection else lambda b: b
+
     def stream(data: bytes, extra: str = "") -> bytes:
-        z = zlib.compress(data, 6)
+        z = sealed(zlib.compress(data, 6))
         return f"<< /Length {len(z)} /Filter /FlateDecode{extra} >>\nstream\n".encode() + z + b"\nendstream"
 
     catalog, tree = add(b""), add(b"")
@@ -116,6 +118,7 @@ def build_pdf(title: str, pages: list[dict], footer: bool = True, watermark: str
         ops, images = [], ""
         if p.get("jpeg"):
             data, iw, ih = p["jpeg"]
+            data = sealed(data)
             img = add(f"<< /Type /XObject /Subtype /Image /Width {iw} /Height {ih} /ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /DCTDecode /Length {len(data)} >>\nstream\n".encode() + data + b"\nendstream")
             images = f" /XObject << /Im {img} 0 R >>"
             ops.append(f"q {pdf_number(w)} 0 0 {pdf_number(h)} 0 0 cm /Im Do Q")
@@ -134,14 +137,15 @@ def build_pdf(title: str, pages: list[dict], footer: bool = True, watermark: str
         kids.append(add(f"<< /Type /Page /Parent {tree} 0 R /MediaBox [0 0 {pdf_number(w)} {pdf_number(h)}] /Resources << /Font << /F1 {font} 0 R >>{images} >> /Contents {content} 0 R >>".encode()))
     objects[catalog - 1] = f"<< /Type /Catalog /Pages {tree} 0 R >>".encode()
     objects[tree - 1] = f"<< /Type /Pages /Kids [{' '.join(f'{k} 0 R' for k in kids)}] /Count {len(kids)} >>".encode()
-    info = add(f"<< /Title {hex_literal(chr(0xFEFF).encode('utf-16-be') + title.encode('utf-16-be'))} /CreationDate ({pdf_date(now)}) >>".encode())
+    info = add(f"<< /Title {hex_literal(sealed(chr(0xFEFF).encode('utf-16-be') + title.encode('utf-16-be')))} /CreationDate {hex_literal(sealed(pdf_date(now).encode()))} >>".encode())
+    lock = f" /Encrypt {add(protection.dictionary.encode())} 0 R /ID [<{'0' * 32}> <{'0' * 32}>]" if protection else ""
     out, places = bytearray(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"), []
     for i, body in enumerate(objects, 1):
         places.append(len(out))
         out += f"{i} 0 obj\n".encode() + body + b"\nendobj\n"
     start = len(out)
     out += f"xref\n0 {len(objects) + 1}\n0000000000 65535 f \n".encode() + b"".join(f"{p:010d} 00000 n \n".encode() for p in places)
-    out += f"trailer\n<< /Size {len(objects) + 1} /Root {catalog} 0 R /Info {info} 0 R >>\nstartxref\n{start}\n%%EOF\n".encode()
+    out += f"trailer\n<< /Size {len(objects) + 1} /Root {catalog} 0 R /Info {info} 0 R{lock} >>\nstartxref\n{start}\n%%EOF\n".encode()
     return bytes(out)
 
 

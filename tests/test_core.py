@@ -324,3 +324,20 @@ def test_vault(spark):
     r = df.select("id", V.unseal(F.col("s"), k, F.col("id")).cast("string").alias("ok"), V.unseal(F.col("s"), bad, F.col("id")).alias("no"), V.unseal(F.col("s"), k, F.lit("dx")).alias("other"), V.is_sealed(F.col("s")).alias("m")).orderBy("id").collect()
     assert (r[0].ok, r[0].no, r[0].other, r[0].m) == ("texte", None, None, True) and (r[1].ok, r[1].m) == (None, False)
     assert V.check_password("12345") and not V.check_password("123456")
+
+
+def test_pdf_protection(spark):
+    import re
+    import zlib
+
+    from parchmint.sinks.packages import build_pdf
+    from parchmint.sinks.pdf_security import Cbc, file_key, permissions, protect
+
+    pdf = build_pdf("Été", [{"width": 100, "height": 100, "words": [{"text": "secret", "x": 5, "y": 6, "w": 30, "h": 12}]}], protection=protect(spark, "mot de passe"))
+    assert b"/Encrypt" in pdf and permissions() < 0
+    u, ue = (bytes.fromhex(re.search(rb"/%s <([0-9a-f]+)>" % n, pdf).group(1).decode()) for n in (b"U", b"UE"))
+    assert file_key(spark, "faux", u, ue) is None
+    key = file_key(spark, "mot de passe", u, ue)
+    body = re.search(rb"/Length (\d+) /Filter /FlateDecode >>\nstream\n", pdf)
+    raw = pdf[body.end() : body.end() + int(body.group(1))]
+    assert b"<" + b"secret".hex().encode() + b">" in zlib.decompress(Cbc(spark).run(key, raw[:16], raw[16:], padded=True, decrypt=True))
