@@ -299,10 +299,10 @@ def split_parts(spark, d):
     return page_rows(spark, d).select("page_id", F.floor(F.col("page_index") / 2).cast("int").alias("part"))
 
 
-@query(f"SELECT doc_id, list_transform(list(page_id ORDER BY page_index DESC, page_id DESC), lambda x: x)::VARCHAR AS pages FROM {PAGES} WHERE doc_id <> 'dinbox000' GROUP BY doc_id")
+@query(f"SELECT doc_id, list_transform(list(page_id ORDER BY page_index DESC, page_id DESC), lambda x: x)::VARCHAR AS pages FROM {PAGES} GROUP BY doc_id")
 def reversed_pages(spark, d):
     """Page lists in reverse order."""
-    p = page_rows(spark, d).where("doc_id <> 'dinbox000'")
+    p = page_rows(spark, d)
     ids = F.transform(F.sort_array(F.collect_list(F.struct("page_index", "page_id")), asc=False), lambda x: x["page_id"])
     return p.groupBy("doc_id").agg(F.concat(F.lit("["), F.array_join(ids, ", "), F.lit("]")).alias("pages"))
 
