@@ -20,6 +20,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": near_duplicates.P1_SQL,
         "p7_found": leaks.P7_SQL,
         "p7_items": f"SELECT item_id, count(*)::BIGINT AS documents FROM ({leaks.P7_SQL}) GROUP BY item_id",
     }

@@ -279,3 +279,20 @@ def test_residue_frames(spark):
     assert {r.doc_id: r.residue for r in found} == {i: k for i, (_, k) in enumerate(RESIDUE) if k} and len([r for r in found if r.doc_id == 0]) == 2
     assert residue.without_residue(df, "doc_id", "text").count() == sum(k is None for _, k in RESIDUE) + 1
     assert residue.find_residue(df.limit(0), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("name", ["p1_found", "p7_found", "p7_items"])
+def test_against_sql(spark, name):
+    from pathlib import Path
+
+    from parchmint.llm import queries
+
+    duckdb = pytest.importorskip("duckdb")
+    data = Path("/root/testdata/sf0.001")
+    if not data.exists():
+        pytest.skip("no test tables")
+    c = duckdb.connect()
+    for t in ("search_docs", "documents", "eval_items"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    got = queries.queries()[name](spark, str(data))
+    assert sorted(map(tuple, got.collect())) == sorted(c.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall())
