@@ -269,8 +269,8 @@ WITH RECURSIVE cur AS (SELECT * FROM (SELECT DISTINCT id, title, content, update
 w AS (SELECT id, {_WORDS} AS w FROM cur),
 sh AS (SELECT DISTINCT id, array_to_string(w[k:k+2], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS k FROM w WHERE len(w) >= 20)),
 n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
-both AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2),
-links AS (SELECT a, b FROM both JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9),
+shared AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9),
 ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT a, b FROM ways UNION SELECT r.a, l.b FROM reach r JOIN ways l ON l.a = r.b)
 SELECT a AS id_a, b AS id_b FROM reach WHERE a < b
