@@ -190,7 +190,6 @@ TITLED = re.compile(rf"(?<![\w.])(?:Mme|Mlle|Mrs|Mr|Ms|Miss|Herrn?|Frau|Sra\.|Sr
 _NO_NAME = re.compile(r"^(?:le|la|les|the|der|die|das|el|il|lo|un|une|a|an|notre|votre|our|your|unser\w*|ihre?\w*|nostr\w+|vuestr\w+|nuestr\w+|sehr|damen|und|service|société|compagnie|banque|bank|banco|banca|résidence|residencia|residenza|verein|haus|gardien|caretaker|hausmeister|custode|conserje|bureau|agence|cabinet|mutuelle|régie|atelier|coopérative|consorzio|gestoría)\b", re.I)
 
 
-LEARN_TEXTS = 10_000
 LEARN_SUPPORT = 3
 _WORDS = re.compile(rf"(?<![\w'’-])(?:[A-ZÀ-Þ]\.|[A-ZÀ-Þ][\w'’]+(?:-[A-ZÀ-Þ][\w'’]+)*)(?:,?[ \n](?:[A-ZÀ-Þ]\.|[A-ZÀ-Þ][\w'’]+(?:-[A-ZÀ-Þ][\w'’]+)*))+")
 
@@ -212,10 +211,14 @@ def _known_names(t: str, lexicon: frozenset):
             yield run.start() + begin, run.start() + last
 
 
-def find_personal(text: str, lexicon: frozenset = frozenset()) -> list[tuple[int, int, str]]:
-    """(start, end, type) of all personal information in the text, 0-based, in order and without overlaps."""
-    m = deobfuscate(text)
-    t, spans = m.text, []
+def _candidate_parts(t: str) -> set[str]:
+    """What a lexicon may hold of the capitalised runs of the text."""
+    return {x for run in _WORDS.finditer(t) for x in re.findall(r"[^\W\d_]{4,}", run.group().lower())}
+
+
+def _detect(t: str) -> list[tuple[int, int, str]]:
+    """(start, end, type) in the plain text of what needs no lexicon."""
+    spans = []
 
     def add(a: int, b: int, kind: str) -> None:
         if all(b <= x or a >= y for x, y, _ in spans):
@@ -246,16 +249,33 @@ def find_personal(text: str, lexicon: frozenset = frozenset()) -> list[tuple[int
     for x in TITLED.finditer(t):
         if not _NO_NAME.match(x.group("n")):
             add(x.start("n"), x.end("n"), "NAME")
+    return spans
+
+
+def _placed(m: Mapped, spans: list, lexicon) -> list[tuple[int, int, str]]:
+    """``spans`` of the plain text and the known names beside them, as places of the text itself."""
+    spans = list(spans)
     if lexicon:
-        for a, b in _known_names(t, lexicon):
-            add(a, b, "NAME")
+        for a, b in _known_names(m.text, lexicon):
+            if all(b <= x or a >= y for x, y, _ in spans):
+                spans.append((a, b, "NAME"))
     return sorted((m.place(a), m.place(b - 1) + 1, kind) for a, b, kind in spans)
 
 
+def find_personal(text: str, lexicon: frozenset = frozenset()) -> list[tuple[int, int, str]]:
+    """(start, end, type) of all personal information in the text, 0-based, in order and without overlaps."""
+    m = deobfuscate(text)
+    return _placed(m, _detect(m.text), lexicon)
+
+
 def redact(text: str, lexicon: frozenset = frozenset()) -> str:
     """The text with each find replaced by its type in brackets, everything else as it is."""
+    return _replaced(text, find_personal(text, lexicon))
+
+
+def _replaced(text: str, spans: list) -> str:
     out, at = [], 0
-    for a, b, kind in find_personal(text, lexicon):
+    for a, b, kind in spans:
         out += [text[at:a], f"[{kind}]"]
         at = b
     return "".join([*out, text[at:]])
@@ -270,21 +290,88 @@ def _finder(lexicon: frozenset):
     return run
 
 
+def _name_parts(t: str, spans: list) -> list[str]:
+    """Words of the names found, once for each name."""
+    return [w for a, b, kind in spans if kind == "NAME" for w in set(re.findall(r"[^\W\d_]{4,}", t[a:b].lower()))]
+
+
+def _detect_all(batches):
+    for pdf in batches:
+        rows = []
+        for t in pdf["t"]:
+            m = deobfuscate(t)
+            spans = _detect(m.text)
+            parts = _name_parts(t, _placed(m, spans, None))
+            rows.append(([x[0] for x in spans], [x[1] for x in spans], [x[2] for x in spans], parts, sorted(_candidate_parts(m.text))))
+        if rows:
+            yield pdf.assign(**dict(zip(("a", "b", "kind", "parts", "words"), map(list, zip(*rows)))))
+
+
+def _detected(texts: DataFrame) -> DataFrame:
+    """Row number, src, rec_id, t, finds without a lexicon, parts of the names among them and the words that a lexicon may know.
+
+    Cut once: the costly patterns run a single time, though the lexicon comes from all texts and goes back to all.
+    """
+    some = texts.where(F.length("t") > 0).select(F.monotonically_increasing_id().alias("rid"), "src", "rec_id", "t")
+    schema = "rid bigint, src string, rec_id string, t string, a array<int>, b array<int>, kind array<string>, parts array<string>, words array<string>"
+    return cut_lineage(some.mapInPandas(_detect_all, schema))
+
+
+def _supported(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("w").count().where(f"count >= {LEARN_SUPPORT}").select("w")
+
+
+def _with_known(found: DataFrame) -> DataFrame:
+    """``found`` with ``known``: those words of each row that all texts together know as parts of names.
+
+    The lexicon meets the rows by word, so it may be of any size; a row gets only what it holds itself.
+    """
+    lexicon = _supported(found.select(F.explode("parts").alias("w")))
+    known = found.select("rid", F.explode("words").alias("w")).join(lexicon, "w").groupBy("rid").agg(F.collect_list("w").alias("known"))
+    return found.drop("parts", "words").join(known, "rid", "left")
+
+
+def _finished(row) -> list[tuple[int, int, str]]:
+    spans = list(zip(row.a, row.b, row.kind))
+    known = frozenset(row.known) if row.known is not None else frozenset()
+    return _placed(deobfuscate(row.t), spans, known) if spans or known else []
+
+
+def _finish_spans(batches):
+    for pdf in batches:
+        rows = [(r.src, r.rec_id, kind, a + 1, b) for r in pdf.itertuples(index=False) for a, b, kind in _finished(r)]
+        if rows:
+            yield pd.DataFrame(rows, columns=["src", "rec_id", "pii_type", "start_pos", "end_pos"])
+
+
+def _finish_texts(batches):
+    for pdf in batches:
+        yield pdf[["src", "rec_id"]].assign(t=[_replaced(r.t, _finished(r)) for r in pdf.itertuples(index=False)])
+
+
+def spans_with_learned_names(texts: DataFrame) -> DataFrame:
+    """As ``personal_spans``, with the names learned from all of the texts; two shuffles, of words and of texts."""
+    return _with_known(_detected(texts)).mapInPandas(_finish_spans, "src string, rec_id string, pii_type string, start_pos bigint, end_pos bigint")
+
+
+def redacted_with_learned_names(texts: DataFrame) -> DataFrame:
+    """(src, rec_id, t): the texts that aren't empty, with placeholders, with the names learned from all of them."""
+    return _with_known(_detected(texts)).mapInPandas(_finish_texts, "src string, rec_id string, t string")
+
+
 def _parts(batches):
     for pdf in batches:
-        rows = [w for t in pdf["t"] for a, b, kind in find_personal(t) if kind == "NAME" for w in set(re.findall(r"[^\W\d_]{4,}", t[a:b].lower()))]
-        yield pd.DataFrame({"w": rows})
+        parts = [w for t in pdf["t"] for w in _name_parts(t, find_personal(t))]
+        if parts:
+            yield pd.DataFrame({"w": parts})
 
 
 def learn_names(texts: DataFrame) -> frozenset:
-    """Parts of names that the phrases find at least ``LEARN_SUPPORT`` times in a sample of about ``LEARN_TEXTS`` texts.
+    """Parts of names that the phrases find at least ``LEARN_SUPPORT`` times in all texts, to be handed to the functions here.
 
-    They find names beside misread phrases. The sample takes texts by a hash of their id; its bound also bounds the result.
+    The set lies in memory: for collections whose parts of names are not bounded, take ``spans_with_learned_names``.
     """
-    some = texts.where(F.length("t") > 0)
-    every = max(1, -(-some.count() // LEARN_TEXTS))
-    sample = some.where(F.pmod(F.xxhash64("src", "rec_id"), F.lit(every)) == 0).select("t")
-    return frozenset(r.w for r in sample.mapInPandas(_parts, "w string").groupBy("w").count().where(f"count >= {LEARN_SUPPORT}").collect())
+    return frozenset(r.w for r in _supported(texts.where(F.length("t") > 0).select("t").mapInPandas(_parts, "w string")).collect())
 
 
 def personal_spans(texts: DataFrame, lexicon: frozenset = frozenset()) -> DataFrame:
@@ -316,11 +403,9 @@ def library_texts(spark, sf_dir: str) -> DataFrame:
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
     """(src, rec_id, pii_type, start_pos): every occurrence in the current rows."""
-    texts = cut_lineage(library_texts(spark, sf_dir))
-    return personal_spans(texts, learn_names(texts)).select("src", "rec_id", "pii_type", "start_pos")
+    return spans_with_learned_names(library_texts(spark, sf_dir)).select("src", "rec_id", "pii_type", "start_pos")
 
 
 def p2_redacted(spark, sf_dir: str) -> DataFrame:
     """(src, rec_id, t): the current texts with placeholders."""
-    texts = cut_lineage(library_texts(spark, sf_dir))
-    return redacted(texts.where(F.length("t") > 0), "t", learn_names(texts))
+    return redacted_with_learned_names(library_texts(spark, sf_dir))

@@ -102,6 +102,20 @@ def test_personal_offsets_and_redaction(spark):
     assert personal.personal_spans(df.limit(0)).count() == 0 and personal.learn_names(df.limit(0)) == frozenset()
 
 
+def test_names_are_learned_from_all_texts(spark):
+    parts = [f"{a}{b}" for a in ("Bar", "Mor", "Tel", "Gin") for b in ("nard", "ello", "vik")]
+    known = [f"Vu avec {x} {x}son, tout va bien." for x in parts for _ in range(3)]
+    rows = [(f"k{i}", t) for i, t in enumerate(known)] + [(f"x{i}", f"zzz {x} {x}son passera") for i, x in enumerate(parts)] + [(f"f{i}", "mot") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "rec_id string, t string").withColumn("src", F.lit("notes"))
+    assert personal.learn_names(df) == {w.lower() for x in parts for w in (x, f"{x}son")}
+    got = {r.rec_id: (r.start_pos, r.end_pos) for r in personal.spans_with_learned_names(df).where("pii_type = 'NAME'").collect()}
+    want = {r.rec_id: (r.start_pos, r.end_pos) for r in personal.personal_spans(df, personal.learn_names(df)).collect()}
+    assert got == want and all(got[f"x{i}"] == (5, 5 + 2 * len(x) + 3) for i, x in enumerate(parts))
+    red = {r.rec_id: r.t for r in personal.redacted_with_learned_names(df).collect()}
+    assert red["x0"] == "zzz [NAME] passera" and red["f0"] == "mot" and len(red) == len(rows)
+    assert personal.spans_with_learned_names(df.limit(0)).count() == 0
+
+
 SAMPLES = {
     "fra": "la société de maintenance a facturé la pose des câbles dans les locaux avec l'accord écrit du propriétaire et vous en remercie {}",
     "eng": "the maintenance contractor has billed the fitting of the cables at the premises with the written consent of the owner {}",
