@@ -26,6 +26,7 @@ FIRST_DEPTH = 2
 MOST_DEPTH = 9
 SALTS = 16
 PIVOTS = 8
+BLOCK = 256
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -167,12 +168,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(both >= threshold * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
 
 
-def _hot_nodes(rows: DataFrame, sets: DataFrame, links: DataFrame, threshold: float, least: int) -> DataFrame:
+def _inside(rows: DataFrame, links: DataFrame, least: int) -> DataFrame:
+    """All pairs of ``rows`` inside each component of ``links`` that pass the sketches, by pairs of blocks.
+
+    A component's records are dealt to blocks of about ``BLOCK``; two blocks at a time meet, so no task holds more.
+    """
+    some = rows.select("cls", "sk").distinct().join(connected_components(links, "a", "b").select(F.col("vertex").alias("cls"), "component"), "cls")
+    sizes = some.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = some.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("bigint")).cast("int"))
+    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    node = F.xxhash64("component", F.least("own", "k"), F.greatest("own", "k")).alias("node")
+    return dealt.select(node, "cls", "sk").repartition("node").sortWithinPartitions("node").mapInPandas(_compare_leaves(least), "a bigint, b bigint")
+
+
+def _hot_nodes(rows: DataFrame, sets: DataFrame, links: DataFrame, threshold: float, least: int, every: bool) -> DataFrame:
     """Links inside nodes that stay large at the last level: many records alike each other.
 
     All records are compared with a few pivots of their node; what these links and the earlier ones leave outside the
-    node's largest component is then compared with every record of the node, in blocks. Pairs inside that one component
-    need no comparison, since they can't change it, so nothing is lost and no task sees more than a block at a time.
+    node's largest component is then compared with every record of the node, in blocks. Pairs inside one component can't
+    change it, so the components are whole by then; with ``every``, they are compared too, so that all links are found.
     """
     rank = F.xxhash64("cls", "node")
     pivots = rows.groupBy("node", F.pmod(rank, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(rank.alias("r"), "cls", "sk")).alias("p"))
@@ -187,14 +201,19 @@ def _hot_nodes(rows: DataFrame, sets: DataFrame, links: DataFrame, threshold: fl
     grid = rest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     other = named.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).select("node", "salt", F.col("cls").alias("cls2"), F.col("sk").alias("sk2"), F.col("comp").alias("comp2"))
     met = grid.join(other, ["node", "salt"]).where("comp <> comp2").select("cls", "sk", "cls2", "sk2")
-    return known.union(_verified(met.mapInPandas(_compare_sides(least), "a bigint, b bigint"), sets, threshold))
+    known = known.union(_verified(met.mapInPandas(_compare_sides(least), "a bigint, b bigint"), sets, threshold))
+    if not every:
+        return known
+    known = cut_lineage(known.distinct())
+    return known.union(_verified(_inside(rows, known, least), sets, threshold))
 
 
-def chosen_path_links(sets: DataFrame, threshold: float = 0.8, trees: int = 12) -> DataFrame:
+def chosen_path_links(sets: DataFrame, threshold: float = 0.8, trees: int = 12, every: bool = True) -> DataFrame:
     """Links (a, b), a < b, between records (``cls`` bigint, ``sh`` array of hashes) with at least that Jaccard similarity.
 
     No link is reported that isn't one; ``trees`` sets the recall (12: over 97 % of single pairs at the threshold
-    itself, over 99.9 % from 0.2 above it on). Empty sets have no links.
+    itself, over 99.9 % from 0.2 above it on). Empty sets have no links. Without ``every``, links are left out that join
+    records which other links join already.
     """
     least = _agreement(threshold)
     sigs = cut_lineage(sets.where(F.size("sh") > 0).mapInPandas(_signatures, "cls bigint, sig binary"))
@@ -214,21 +233,22 @@ def chosen_path_links(sets: DataFrame, threshold: float = 0.8, trees: int = 12)
             found = cut_lineage(found)
             rows = big.select("node", "cls").join(sigs, "cls").mapInPandas(_grow(threshold), schema)
     links = cut_lineage(_verified(found, sets, threshold))
-    return _hot_nodes(big.distinct(), sets, links, threshold, least).distinct()
+    return _hot_nodes(big.distinct(), sets, links, threshold, least, every).distinct()
 
 
-def near_duplicate_groups(df: DataFrame, key: str, words: Column, n: int = 5, threshold: float = 0.8, least_words: int = 20, trees: int = 12) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, key: str, words: Column, n: int = 5, threshold: float = 0.8, least_words: int = 20, trees: int = 12, degrees: bool = True) -> DataFrame:
     """(key, group_key, copies, links): one row per record that is alike another one.
 
     Records with fewer than ``least_words`` words, or without a key, are alike none. Records with equal sets are one class,
     joined once and named back at the end, so many copies cost no comparisons. ``group_key`` is the smallest key of the
-    group in byte order, ``copies`` counts the class, ``links`` the other classes it is alike. Empty input gives no rows.
+    group in byte order, ``copies`` counts the class, ``links`` the other classes it is alike (left out without ``degrees``,
+    which spares the comparisons inside groups of many records). Empty input gives no rows.
     """
     w = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), words.alias("w")).where(F.size("w") >= max(least_words, n))
     sets = cut_lineage(w.select("key", F.array_sort(shingles(F.col("w"), n)).alias("sh")).withColumn("cls", F.xxhash64("sh")))
     members = sets.select("key", "cls")
     once = sets.groupBy("cls").agg(F.first("sh").alias("sh"))
-    links = cut_lineage(chosen_path_links(once, threshold, trees))
+    links = cut_lineage(chosen_path_links(once, threshold, trees, degrees))
     label = connected_components(links, "a", "b")
     degree = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("links"))
     copies = members.groupBy("cls").agg(F.count("*").alias("copies"))
@@ -240,19 +260,19 @@ def near_duplicate_groups(df: DataFrame, key: str, words: Column, n: int = 5, th
         .select("key", F.coalesce("comp", "cls").alias("comp"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
     )
     first = named.groupBy("comp").agg(F.min("key").alias("group_key"))
-    return named.join(first, "comp").select(F.col("key").alias(key), "group_key", "copies", "links")
+    return named.join(first, "comp").select(F.col("key").alias(key), "group_key", "copies", *(["links"] if degrees else []))
 
 
-def search_record_groups(search_docs: DataFrame) -> DataFrame:
+def search_record_groups(search_docs: DataFrame, degrees: bool = True) -> DataFrame:
     """Groups of the current search records: three-word sequences, 60 % in common, at least 20 words."""
     now = current_rows(search_docs, "id", "updated_at", ["title", "content"])
     words = tokenize(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
-    return near_duplicate_groups(now, "id", words, n=3, threshold=0.6)
+    return near_duplicate_groups(now, "id", words, n=3, threshold=0.6, degrees=degrees)
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
     """(id_a, id_b): all pairs of one group, smaller id first, as the stated result demands."""
-    g = search_record_groups(spark.read.parquet(f"{sf_dir}/search_docs.parquet")).select("id", "group_key")
+    g = search_record_groups(spark.read.parquet(f"{sf_dir}/search_docs.parquet"), degrees=False).select("id", "group_key")
     a, b = g.select(F.col("id").alias("id_a"), "group_key"), g.select(F.col("id").alias("id_b"), "group_key")
     return a.join(b, "group_key").where("id_a < id_b").select("id_a", "id_b")
 

@@ -68,6 +68,18 @@ def test_near_duplicates_hot_group(spark, monkeypatch):
     assert _groups(df, n=3, threshold=0.6) == _brute([(r.key, r.text) for r in df.collect()], 3, 0.6, 20)
 
 
+def test_near_duplicates_links_in_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "LEAF", 6)
+    monkeypatch.setattr(near_duplicates, "MOST_DEPTH", 2)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 16, raising=False)
+    rows = _variants(9, 1, 90)
+    sets = {k: frozenset(zip(*(t.split()[i:] for i in range(3)))) for k, t in rows}
+    want = {k: sum(j != k and 5 * len(s & x) >= 3 * len(s | x) for j, x in sets.items()) for k, s in sets.items()}
+    got = near_duplicates.near_duplicate_groups(spark.createDataFrame(rows, "key string, text string"), "key", tokenize(F.col("text")), n=3, threshold=0.6)
+    got = {r.key: r.links for r in got.collect()}
+    assert got and all(got[k] <= want[k] for k in got) and sum(got.values()) >= 0.99 * sum(want.values()), (sum(got.values()), sum(want.values()))
+
+
 PERSONAL = [
     ("Merci d'écrire à jean.dupont@example.org avant lundi.", [("EMAIL", "jean.dupont@example.org")]),
     ("écrivez à odile95[at]letterbox.test, merci", [("EMAIL", "odile95[at]letterbox.test")]),
