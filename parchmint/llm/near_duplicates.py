@@ -10,6 +10,8 @@ its name alone, so a record finds its children without seeing the rest of the no
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,6 +29,7 @@ MOST_DEPTH = 9
 SALTS = 16
 PIVOTS = 8
 BLOCK = 256
+RECALL = 0.97
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,13 +87,37 @@ def _matrix(sigs: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), dtype=np.uint32).reshape(len(sigs), COORDINATES)
 
 
-def _plant(threshold: float, trees: int, depth: int):
+def recall_at(threshold: float, depth: int, trees: int) -> float:
+    """The chance that a pair with similarity ``threshold`` passes the sketches and shares a node at ``depth`` in some tree.
+
+    Of the k coordinates in which a pair agrees, each node picks every one alike: a branching process for each k.
+    """
+    pick, least, total = min(1.0, 1 / (threshold * COORDINATES)), max(0, _agreement(threshold)), 0.0
+    for k in range(least, COORDINATES + 1):
+        lost = 0.0
+        for _ in range(depth):
+            lost = (1 - pick + pick * lost) ** k
+        total += comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) * (1 - lost**trees)
+    return total
+
+
+def trees_for(threshold: float, depth: int) -> int:
+    """The least number of trees with a recall of ``RECALL`` at ``depth``, or near what any number has at very low thresholds."""
+    aim, trees = min(RECALL, 0.99 * recall_at(threshold, depth, 10_000)), 1
+    while recall_at(threshold, depth, trees) < aim:
+        trees += 1
+    return trees
+
+
+def _plant(threshold: float, first: int, trees: int, depth: int):
+    """The nodes of the trees from number ``first`` on to ``trees`` at ``depth``."""
+
     def run(batches):
-        roots = _mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        roots = _mix(np.arange(first + 1, trees + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         for pdf in batches:
             sig = _matrix(pdf["sig"])
             sketch = sig.astype(np.uint8)
-            rows = np.repeat(np.arange(len(pdf)), trees)
+            rows = np.repeat(np.arange(len(pdf)), trees - first)
             nodes = np.tile(roots, len(pdf))
             for _ in range(depth):
                 rows, nodes = _children(nodes, rows, sig, threshold)
@@ -211,29 +238,40 @@ def _hot_nodes(rows: DataFrame, sets: DataFrame, links: DataFrame, threshold: fl
 def chosen_path_links(sets: DataFrame, threshold: float = 0.8, trees: int = 12, every: bool = True) -> DataFrame:
     """Links (a, b), a < b, between records (``cls`` bigint, ``sh`` array of hashes) with at least that Jaccard similarity.
 
-    No link is reported that isn't one; ``trees`` sets the recall (12: over 97 % of single pairs at the threshold
-    itself, over 99.9 % from 0.2 above it on). Empty sets have no links. Without ``every``, links are left out that join
-    records which other links join already.
+    No link is reported that isn't one. Each level loses some pairs, so trees are added to the first ``trees`` until the
+    deepest level that nodes reach has a recall of ``RECALL`` for single pairs at the threshold itself (``trees_for``).
+    Empty sets have no links. Without ``every``, links are left out that join records which other links join already.
     """
     least = _agreement(threshold)
     sigs = cut_lineage(sets.where(F.size("sh") > 0).mapInPandas(_signatures, "cls bigint, sig binary"))
+    found, hot, planted = None, None, 0
+    while planted < trees:
+        met, big, depth = _walk(sigs, threshold, least, planted, trees)
+        found = met if found is None else cut_lineage(found.union(met).distinct())
+        if big is not None:
+            hot = big if hot is None else hot.union(big)
+        planted, trees = trees, max(trees, trees_for(threshold, depth))
+    links = cut_lineage(_verified(found, sets, threshold))
+    return links if hot is None else _hot_nodes(hot.distinct(), sets, links, threshold, least, every).distinct()
+
+
+def _walk(sigs: DataFrame, threshold: float, least: int, first: int, trees: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """(pairs that meet in leaves of the trees from ``first`` on to ``trees``, rows of nodes that stay large, depth reached)."""
     schema = "node bigint, cls bigint, sk binary"
-    rows = sigs.mapInPandas(_plant(threshold, trees, FIRST_DEPTH), schema)
+    rows = sigs.mapInPandas(_plant(threshold, first, trees, FIRST_DEPTH), schema)
     found = None
     for depth in range(FIRST_DEPTH, MOST_DEPTH + 1):
         sizes = rows.groupBy("node").count().where("count > 1")
         sized = cut_lineage(rows.join(sizes, "node"))
         leaves = sized.where(F.col("count") <= LEAF).select("node", "cls", "sk").repartition("node").sortWithinPartitions("node")
         met = leaves.mapInPandas(_compare_leaves(least), "a bigint, b bigint").distinct()
-        found = met if found is None else found.union(met)
+        found = cut_lineage(met if found is None else found.union(met))
         big = sized.where(F.col("count") > LEAF).select("node", "cls", "sk")
         if big.isEmpty():
-            return cut_lineage(_verified(found, sets, threshold))
+            return found, None, depth
         if depth < MOST_DEPTH:
-            found = cut_lineage(found)
             rows = big.select("node", "cls").join(sigs, "cls").mapInPandas(_grow(threshold), schema)
-    links = cut_lineage(_verified(found, sets, threshold))
-    return _hot_nodes(big.distinct(), sets, links, threshold, least, every).distinct()
+    return found, big, MOST_DEPTH
 
 
 def near_duplicate_groups(df: DataFrame, key: str, words: Column, n: int = 5, threshold: float = 0.8, least_words: int = 20, trees: int = 12, degrees: bool = True) -> DataFrame:

@@ -80,6 +80,18 @@ def test_near_duplicates_links_in_hot_group(spark, monkeypatch):
     assert got and all(got[k] <= want[k] for k in got) and sum(got.values()) >= 0.99 * sum(want.values()), (sum(got.values()), sum(want.values()))
 
 
+def test_near_duplicates_recall_at_depth(spark, monkeypatch):
+    """Pairs at the threshold itself that meet in nodes of the last level alone."""
+    monkeypatch.setattr(near_duplicates, "LEAF", 1)
+    rnd = random.Random(12)
+    rows = []
+    for i in range(400):
+        h = [rnd.getrandbits(62) for _ in range(100)]
+        rows += [(2 * i, h[:80]), (2 * i + 1, h[20:])]
+    links = near_duplicates.chosen_path_links(spark.createDataFrame(rows, "cls bigint, sh array<bigint>"), 0.6).collect()
+    assert {(r.a, r.b) for r in links} <= {(2 * i, 2 * i + 1) for i in range(400)} and len(links) >= 0.95 * 400, len(links)
+
+
 PERSONAL = [
     ("Merci d'écrire à jean.dupont@example.org avant lundi.", [("EMAIL", "jean.dupont@example.org")]),
     ("écrivez à odile95[at]letterbox.test, merci", [("EMAIL", "odile95[at]letterbox.test")]),
