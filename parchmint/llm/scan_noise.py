@@ -172,12 +172,32 @@ def shape_misread(word: str, shapes: dict[str, float], most: float) -> bool:
     own = shapes.get(shape(word), 0.0)
     if 40 * (own + 0.5) > most:
         return False
+    return any(shapes.get(x, 0.0) >= 40 * (own + 0.5) for x in other_shapes(word))
+
+
+def other_shapes(word: str) -> set[str]:
+    """The shapes with a look-alike character read as its other kind."""
     letters = {i: _DIGITS[c] for i, c in enumerate(word) if c in _DIGITS}
     tries = [word[:i] + d + word[i + 1 :] for i, d in letters.items()]
     tries += [word[:i] + _LETTER_OF[c] + word[i + 1 :] for i, c in enumerate(word) if c in _LETTER_OF]
     if len(letters) > 1:
         tries.append("".join(letters.get(i, c) for i, c in enumerate(word)))
-    return any(shapes.get(shape(t), 0.0) >= 40 * (own + 0.5) for t in tries)
+    return {shape(t) for t in tries}
+
+
+def _shape_keys(batches):
+    for pdf in batches:
+        rows = [(f, k, own) for f in pdf["form"] for own, keys in ((True, {shape(f)}), (False, other_shapes(f))) for k in keys]
+        if rows:
+            yield pd.DataFrame(rows, columns=["form", "k", "own"])
+
+
+def misread_shapes(forms: DataFrame, counts: DataFrame, most: float) -> DataFrame:
+    """(form): those of the distinct ``forms`` for which ``shape_misread`` holds; ``counts`` (k, n) are met by key."""
+    met = forms.mapInPandas(_shape_keys, "form string, k string, own boolean").join(counts, "k", "left")
+    both = met.groupBy("form").agg(F.coalesce(F.max(F.when(F.col("own"), F.col("n"))), F.lit(0)).alias("own"), F.max(F.when(~F.col("own"), F.col("n"))).alias("other"))
+    need = 40 * (F.col("own") + 0.5)
+    return both.where((need <= most) & (F.col("other") >= need)).select("form")
 
 
 # -- cut words -----------------------------------------------------------------------------------------------------------
@@ -314,10 +334,11 @@ def running_headers(pages: DataFrame) -> DataFrame:
     return heads.join(often, ["doc_id", "skeleton"]).select("page_id", "line").distinct()
 
 
-def _scan(joiner: Joiner, good: dict, shapes: dict):
-    """Per page: cut lines, page numbers, and the words still to be judged."""
+def _scan(joiner: Joiner, good: dict, shapes: dict, most: float, whole_shapes: bool):
+    """Per page: cut lines, page numbers, and the words still to be judged.
 
-    most = max(shapes.values(), default=0.0)
+    Words of shapes that aren't shipped are judged later, unless ``shapes`` are all; what is shipped is enough for the others.
+    """
 
     def run(batches):
         for pdf in batches:
@@ -355,7 +376,9 @@ def _scan(joiner: Joiner, good: dict, shapes: dict):
                         digits = sum(c.isdigit() for c in bare)
                         size = sum(c.isalnum() for c in bare)
                         number = digits and (2 * digits >= size or digits + sum(c in _DIGITS for c in bare) == size)
-                        if number and digits < len(bare) and shape_misread(bare, shapes, most):
+                        if number and digits < len(bare) and not whole_shapes and shape(bare) not in shapes:
+                            rows.append((page, i, "shape", bare))
+                        elif number and digits < len(bare) and shape_misread(bare, shapes, most):
                             rows.append((page, i, "char", None))
                         elif digits < size and (not number or 2 * digits < size):
                             rows.append((page, i, "word", k))
@@ -379,7 +402,9 @@ class Vocabulary:
         self.words = {r.form: (float(r.n), float(r.sure or 0.0)) for r in frequent.collect()}
         by_shape = raw.where(F.col("text").rlike(r"\d")).withColumn("k", F.regexp_replace(F.col("text"), r"^[.,;:!?()\[\]{}«»\"“”„'’ …]+|[.,;:!?()\[\]{}«»\"“”„'’ …]+$", ""))
         by_shape = by_shape.withColumn("k", F.regexp_replace(F.regexp_replace(F.regexp_replace("k", r"\p{Lu}", "A"), r"\p{Ll}", "a"), r"\p{Nd}", "9"))
-        self.shapes = {r.k: float(r.n) for r in by_shape.groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= self.least).collect()}
+        self.shape_counts = cut_lineage(by_shape.groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT))
+        self.shapes = {r.k: float(r.n) for r in self.shape_counts.where(F.col("n") >= self.least).collect()}
+        self.most = float(self.shape_counts.agg(F.max("n")).first()[0] or 0)
         # letters around a digit or a bar are misread for certain: their confidence stands for that of misread words
         rare = self.forms.where(F.col("form").rlike(r"^\p{L}+[0156|]\p{L}+$") & (F.col("sure") > 0) & (F.col("n") <= 3)).orderBy(F.xxhash64("form")).select("sure").limit(2000).collect()
         self.rare_sure = sorted(r.sure for r in rare)
@@ -406,13 +431,13 @@ def _judge(ranker: Ranker):
 def corrections(forms: DataFrame, v: Vocabulary) -> DataFrame:
     """(form, cand, score): the forms that are misread, each with the word that replaces it.
 
-    Forms and frequent words meet on shared q-grams; pairs that share enough, differ by two edits at most (letters read as two count as one) and whose word is
+    Forms and words seen ``LEAST_COUNT`` times meet on shared q-grams; pairs that share enough, differ by two edits at most (letters read as two count as one) and whose word is
     ``RATIO`` times as frequent (``RATIO_RARE`` for forms seen once or twice) are ranked. Both sides are distinct forms, not occurrences.
     """
     some = forms.where(r"form rlike '\\p{L}' and not form rlike '@'").select("form", F.col("n").cast("double"), F.col("sure").cast("double"))
     some = some.where((F.col("n") < OFTEN) | (F.col("sure") < v.sure_split)) if v.sure_split else some
     left = some.mapInPandas(_explode_grams, "gram string, form string, n double, sure double")
-    known = v.forms.where((F.col("n") >= v.least) & F.col("form").rlike(r"^[\p{L}'’-]{2,}$")).select("form", F.col("n").cast("double"))
+    known = v.forms.where((F.col("n") >= LEAST_COUNT) & F.col("form").rlike(r"^[\p{L}'’-]{2,}$")).select("form", F.col("n").cast("double"))
     right = known.withColumnRenamed("form", "cand").withColumnRenamed("n", "m").mapInPandas(_explode_grams, "gram string, cand string, m double")
     met = left.join(right, "gram").where((F.abs(F.length("form") - F.length("cand")) <= 3) & (F.col("m") >= F.when(F.col("n") <= 2, RATIO_RARE).otherwise(RATIO) * F.col("n")) & (F.col("form") != F.col("cand")))
     met = met.groupBy("form", "cand").agg(F.first("n").alias("n"), F.first("sure").alias("sure"), F.first("m").alias("m"), F.count("*").alias("k"))
@@ -452,9 +477,12 @@ def _findings(pages: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]
     wrong = {r.form for r in fixes.join(v.forms.where(F.col("n") >= v.least), "form", "left_semi").select("form").collect()}
     good = {w: s for w, s in v.words.items() if w not in wrong}
     pairs, mid = _neighbours(pages)
-    found = cut_lineage(lines.mapInPandas(_scan(Joiner(good, mid, pairs), good, v.shapes), "page_id string, line bigint, noise string, form string"))
+    found = cut_lineage(lines.mapInPandas(_scan(Joiner(good, mid, pairs), good, v.shapes, v.most, v.least <= LEAST_COUNT), "page_id string, line bigint, noise string, form string"))
+    rare = found.where("noise = 'shape'")
+    rare = rare.join(misread_shapes(rare.select("form").distinct(), v.shape_counts, v.most), "form", "left_semi")
     whole = found.where("noise = 'cut'").select("form").distinct().select("form", F.lit(1.0).alias("n"), F.lit(60.0).alias("sure"))
-    return found, fixes.select("form", "cand").union(corrections(whole, v).select("form", "cand")).dropDuplicates(["form"])
+    judged = found.where("noise <> 'shape'").union(rare.select("page_id", "line", F.lit("char").alias("noise"), F.lit(None).cast("string").alias("form")))
+    return judged, fixes.select("form", "cand").union(corrections(whole, v).select("form", "cand")).dropDuplicates(["form"])
 
 
 def line_noise(pages: DataFrame, words: DataFrame) -> DataFrame:

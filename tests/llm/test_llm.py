@@ -238,6 +238,20 @@ def test_scan_noise(spark):
     assert scan_noise.line_noise(pages.limit(0), words.limit(0)).count() == 0
 
 
+def test_scan_noise_rare_words_in_large_collections(spark, monkeypatch):
+    """What the share bound keeps from the tasks is still a candidate and a shape."""
+    monkeypatch.setattr(scan_noise, "LEAST_SHARE", 0.02)
+    pages, words, _ = _pages(spark)
+    rare = ["chaudiere"] * 12 + ["chaudlere"] + ["12.05.2026"] * 900 + ["A-12"] * 20 + ["4-12"] * 600 + ["1O.05.2026"]
+    words = words.union(spark.createDataFrame([(w, 93.0) for w in rare], words.schema))
+    v = scan_noise.Vocabulary(words)
+    assert v.least > 100 and "chaudiere" not in v.words
+    assert {r.form: r.cand for r in scan_noise.corrections(v.forms, v).collect()}.get("chaudlere") == "chaudiere"
+    more = spark.createDataFrame([("r", "r", "facture chaudlere montant\nfacture A-12 montant\nfacture 1O.05.2026 montant\nfacture montant")], pages.schema)
+    got = {(r.line, r.noise) for r in scan_noise.line_noise(pages.union(more), words).where("page_id = 'r'").collect()}
+    assert (0, "char") in got and (1, "char") not in got and (2, "char") in got, got
+
+
 def test_boosting():
     import numpy as np
 
