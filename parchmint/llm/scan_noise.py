@@ -422,7 +422,7 @@ def _explode_grams(batches):
 def _judge(ranker: Ranker):
     def run(batches):
         for pdf in batches:
-            rows = [features(f, n, s or 0.0, c, m) for f, n, s, c, m in zip(pdf["form"], pdf["n"], pdf["sure"], pdf["cand"], pdf["m"])]
+            rows = [features(f, n, s if s > 0 else 0.0, c, m) for f, n, s, c, m in zip(pdf["form"], pdf["n"], pdf["sure"], pdf["cand"], pdf["m"])]
             yield pdf[["form", "cand"]].assign(score=ranker.score(rows))
 
     return run
@@ -435,7 +435,7 @@ def corrections(forms: DataFrame, v: Vocabulary) -> DataFrame:
     ``RATIO`` times as frequent (``RATIO_RARE`` for forms seen once or twice) are ranked. Both sides are distinct forms, not occurrences.
     """
     some = forms.where(r"form rlike '\\p{L}' and not form rlike '@'").select("form", F.col("n").cast("double"), F.col("sure").cast("double"))
-    some = some.where((F.col("n") < OFTEN) | (F.col("sure") < v.sure_split)) if v.sure_split else some
+    some = some.where((F.col("n") < OFTEN) | F.col("sure").isNull() | (F.col("sure") < v.sure_split)) if v.sure_split else some
     left = some.mapInPandas(_explode_grams, "gram string, form string, n double, sure double")
     known = v.forms.where((F.col("n") >= LEAST_COUNT) & F.col("form").rlike(r"^[\p{L}'’-]{2,}$")).select("form", F.col("n").cast("double"))
     right = known.withColumnRenamed("form", "cand").withColumnRenamed("n", "m").mapInPandas(_explode_grams, "gram string, cand string, m double")

@@ -252,6 +252,14 @@ def test_scan_noise_rare_words_in_large_collections(spark, monkeypatch):
     assert (0, "char") in got and (1, "char") not in got and (2, "char") in got, got
 
 
+def test_scan_noise_frequent_forms_without_confidence(spark):
+    pages, words, _ = _pages(spark)
+    more = [("m0ntre", 55.0)] + [("chauffage", 93.0)] * 2000 + [("chauffaqe", 0.0)] * 15 + [("chauffaqe", None)] * 15
+    v = scan_noise.Vocabulary(words.union(spark.createDataFrame(more, words.schema)))
+    assert v.sure_split > 0
+    assert {r.form: r.cand for r in scan_noise.corrections(v.forms, v).collect()}.get("chauffaqe") == "chauffage"
+
+
 def test_boosting():
     import numpy as np
 
