@@ -98,8 +98,8 @@ _CODE_LINE = re.compile(r"[;{}]\s*$|^\s*(?:def|class|import|from|return|var|let|
 # What a text must hold, in lower case, to be looked at closely: delimiters, and stems of the families above.
 _STEMS = {
     "hole": ["{{", "${", "{", "<%", "[[", "<<", "«", "<", "[", "%", "@@", "#", "$$", "__", "jj/mm", "jj.mm", "jj-mm", "dd/mm", "dd.mm", "dd-mm", "tt.mm", "tt/mm", "tt-mm", "gg/mm", "gg.mm", "gg-mm", "mm/dd", "yyyy-mm", "aaaa-mm", "jjjj-mm", "xx/xx", "xx.xx", "xx-xx", "tbd", "todo", "fixme"],
-    "filler": ["lorem", "dolor sit", "consectetur", "sed do eiusmod", "ut labore", "bla bla", "blah blah", "insérer", "inserer", "saisi", "entrez", "tapez", "placez", "texte à", "texte de", "texte factice", "texte d'", "texte bidon", "your text", "your content", "insert", "enter ", "type ", "put ", "add ", "sample ", "placeholder", "dummy", "filler", "hier ", "blindtext", "mustertext", "beispieltext", "platzhaltertext", "text ", "ihr text", "texto de", "escriba", "introduzca", "ponga", "su texto", "testo ", "scriv", "digitare", "asdf", "qwert", "foo bar", "xxx xxx"],
-    "page": ["script", "skript", "introuvable", "not found", "no longer", "be found", "exist", "nicht gefunden", "nicht vorhanden", "nicht verfügbar", "nicht erreichbar", "zugriff", "non trovat", "non disponibil", "no encontrad", "no disponible", "se ha encontrado", "moved", "déplacé", "denied", "forbidden", "authori", "autorisé", "refusé", "interdit", "accesso", "acceso", "session", "sesión", "sitzung", "unavailable", "indisponible", "overloaded", "surchargé", "down for", "not responding", "überlastet", "error", "erreur", "fehler", "errore", "went wrong", "occurred", "gateway", "bad request", "too many", "time-out", "timeout", "timed", "délai d", "zeitüber", "scadut", "scaduto", "tiempo de espera", "trop de requ", "zu viele", "troppe", "demasiad", "passerelle"],
+    "filler": ["lorem", "dolor sit", "consectetur", "sed do eiusmod", "ut labore", "bla bla", "blah blah", "insérer", "inserer", "saisi", "entrez", "tapez", "placez", "texte à", "texte de", "texte factice", "texte d'", "texte bidon", "your text", "your content", "insert", "enter ", "type ", "put ", "add ", "sample ", "placeholder", "dummy", "filler", "hier ", "blindtext", "mustertext", "beispieltext", "platzhaltertext", "text ", "ihr text", "texto de", "escriba", "introduzca", "ponga", "su texto", "testo", "inserir", "inserisc", "contenut", "scriv", "digitare", "asdf", "qwert", "foo bar", "xxx xxx"],
+    "page": ["script", "skript", "introuvable", "not found", "no longer", "be found", "exist", "esiste", "nicht gefunden", "nicht vorhanden", "nicht verfügbar", "nicht erreichbar", "zugriff", "non trovat", "non disponibil", "no encontrad", "no disponible", "se ha encontrado", "moved", "déplacé", "denied", "forbidden", "authori", "autorisé", "refusé", "interdit", "accesso", "acceso", "session", "sesión", "sitzung", "unavailable", "indisponible", "overloaded", "surchargé", "down for", "not responding", "überlastet", "error", "erreur", "fehler", "errore", "went wrong", "occurred", "gateway", "bad request", "too many", "time-out", "timeout", "time out", "time -out", "timed", "délai d", "delai d", "zeitüber", "scadut", "scaduto", "tiempo de espera", "trop de requ", "zu viele", "troppe", "demasiad", "passerelle"],
 }
 _ANY_HOLE = re.compile("|".join(f"(?:{p})" for p in (q.replace("\\1", "[/.-]") for q in PLACEHOLDERS)))
 

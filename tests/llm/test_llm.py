@@ -270,6 +270,30 @@ def test_boosting():
     assert ((m.predict(x[1500:]) > 0.5) == y[1500:]).mean() > 0.9
 
 
+FILLED = """lorem ipsum|dolor sit amet|consectetur adipiscing|sed do eiusmod|ut labore et dolore|bla bla bla|blah blah blah|inserer le texte|insérer le contenu|saisissez le paragraphe|saisir un texte|entrez le texte|tapez le texte
+placez le contenu|texte à remplacer|texte de remplissage|texte factice|texte d'exemple|texte bidon|your text here|your content goes here|insert text here|enter the copy here|type your content here|put text here|add content here
+sample paragraph|sample text|placeholder copy|dummy text|filler text|hier steht text|hier kommt text|hier folgt text|blindtext|mustertext|beispieltext|platzhaltertext|text einfugen|text hier einfügen|text eingeben|ihr text hier
+texto de ejemplo|texto de relleno|texto de muestra|texto de prueba|inserte el texto|escriba el contenido|introduzca el texto|ponga el contenido|su texto aquí|testo di prova|testo di esempio|testo di riempimento|testo segnaposto
+inserire il contenuto|inserisci il contenuto|inserire il testo.|scrivi il contenuto|scrivere il testo.|digitare il contenuto|il tuo testo, qui|il vostro testo qui|il suo testo qui|asdf asdf|qwertz qwertz|qwerty qwerty|foo bar|xxx xxx"""
+FAILED = """page introuvable|document not found|fichier no longer|file could not be found|resource cannot be found|url does not exist|page doesn't exist|page n'existe plus|page n'existe pas|page moved|n'existe plus ou a été déplacé|seite nicht gefunden|dokument nicht vorhanden
+datei nicht verfügbar|seite existiert nicht|pagina non trovata|documento non trovato|pagina non esiste|documento non disponibile|página no encontrada|documento no existe|página no disponible|documento no se ha encontrado|access denied|permission was forbidden|forbidden
+accès refusé|acces interdit|accès non autorisé|zugriff verweigert|zugriff nicht|accesso negato|accesso vietato|acceso denegado|acceso prohibido|not authorised|not authorized|unauthorised|unauthorized|session expired|session timed out|session ended|sitzung abgelaufen|sessione scaduta|sesión caducada|sesión expirada
+service unavailable|server indisponible|site overloaded|site surchargé|server down for|gateway not responding|dienst nicht erreichbar|dienst nicht verfügbar|server überlastet|servizio non disponibile|servicio no disponible|internal error|server error|unexpected error|unknown server error|erreur interne|erreur inattendue
+interner fehler|interner serverfehler|errore interno|errore imprevisto|error interno|error inesperado|something went wrong|an error occurred|something occurred|bad gateway|bad request|too many requests|gateway timeout|gateway time-out|request time out|request timed out|request time -out|request timeout|time out|timed out|timeout
+delai d'attente dépassé|délai d’attente dépassé|zeitüberschreitung|tempo scaduto|tempo di attesa scaduto|tiempo de espera agotado|trop de requêtes|zu viele anfragen|troppe richieste|demasiadas peticiones|demasiadas solicitudes|passerelle incorrecte"""
+
+
+@pytest.mark.parametrize(("texts", "grammar", "bit"), [(FILLED, residue._FILLED, 2), (FAILED, residue._ERROR, 4)])
+def test_residue_gate_passes_every_alternative(texts, grammar, bit):
+    for t in texts.replace("\n", "|").split("|"):
+        assert grammar.search(t), t
+        assert residue._needs(t) & bit, t
+
+
+def test_residue_gate_passes_whole_texts():
+    assert residue.residue_of("Inserire qui il contenuto.") == "filler" and residue.residue_of("La pagina richiesta non esiste.") == "error"
+
+
 def test_packing(spark):
     rnd = random.Random(7)
     sizes = [(i, rnd.choice([1, 7, 30, 64, 100, 101, 250, 0])) for i in range(3000)] + [(1, 7), (5, 100_000)]
