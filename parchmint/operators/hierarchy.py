@@ -1,4 +1,4 @@
-"""Folder trees: closure, paths, cascades. A tree is (id, parent_id); depth is bounded, so cycles end."""
+"""Folder trees: closure, paths, cascades. A tree is (id, parent_id) of any depth."""
 
 from __future__ import annotations
 
@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from parchmint.session import cut_lineage
 
-MOST_DEPTH = 64
-
-
-def closure(tree: DataFrame, id: str = "id", parent: str = "parent_id", most_depth: int = MOST_DEPTH) -> DataFrame:
+def closure(tree: DataFrame, id: str = "id", parent: str = "parent_id") -> DataFrame:
     """(ancestor, id, depth) for every folder and each of its ancestors, itself at depth 0.
 
     By doubling: each round joins the known ancestors with themselves, so a tree of depth d takes log2(d) joins. Parents
@@ -20,17 +17,16 @@ def closure(tree: DataFrame, id: str = "id", parent: str = "parent_id", most_dep
     ids = edges.select("id")
     known = ids.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("depth")).union(edges.join(ids.select(F.col("id").alias("parent")), "parent").where("parent <> id").select(F.col("parent").alias("ancestor"), "id", F.lit(1).alias("depth")))
     known = cut_lineage(known)
-    reach, size = 1, known.count()
-    while reach < most_depth:
+    size = known.count()
+    while True:
         up = known.where("depth > 0")
         a = up.select("ancestor", F.col("id").alias("mid"), F.col("depth").alias("d1"))
         b = up.select(F.col("ancestor").alias("mid"), "id", F.col("depth").alias("d2"))
-        more = a.join(b, "mid").select("ancestor", "id", (F.col("d1") + F.col("d2")).alias("depth")).where(F.col("depth") <= most_depth)
+        more = a.join(b, "mid").select("ancestor", "id", (F.col("d1") + F.col("d2")).alias("depth"))
         known = cut_lineage(known.union(more).groupBy("ancestor", "id").agg(F.min("depth").alias("depth")))
-        reach, before, size = reach * 2, size, known.count()
+        before, size = size, known.count()
         if size == before:
-            break
-    return known
+            return known
 
 
 def folder_paths(folders: DataFrame, tree: DataFrame | None = None, separator: str = " / ") -> DataFrame:

@@ -132,13 +132,19 @@ def retained_history(entries: DataFrame, most: int = MOST_HISTORY) -> DataFrame:
     return entries.orderBy(F.desc("happened_at"), F.desc("id")).limit(most)
 
 
-def touch(docs: DataFrame, ids: list[str], at: str, changes: dict[str, Column]) -> DataFrame:
-    """A touching write: the changes, a new time and the next revision for the given documents."""
-    hit = F.col("id").isin(ids)
-    out = docs
-    for c, v in changes.items():
-        out = out.withColumn(c, F.when(hit, v).otherwise(F.col(c)))
-    return out.withColumn("updated_at", F.when(hit, F.lit(at).cast("timestamp")).otherwise(F.col("updated_at"))).withColumn("revision", F.when(hit, F.col("revision") + 1).otherwise(F.col("revision")))
+def touch(docs: DataFrame, ids: DataFrame | list[str], at: str, changes: dict[str, Column]) -> DataFrame:
+    """A touching write: the changes, a new time and the next revision for the given documents (a frame with id, or a short list)."""
+    new = changes | {"updated_at": F.lit(at), "revision": F.col("revision") + 1}
+    kinds = dict(docs.dtypes)
+    return marked(docs, ids).withColumns({c: F.when(F.col("_hit"), v.cast(kinds[c])).otherwise(F.col(c)) for c, v in new.items()}).select(docs.columns)
+
+
+def marked(df: DataFrame, ids: DataFrame | list[str], name: str = "_hit") -> DataFrame:
+    """``df`` with a boolean ``name``: whether the row's id is among ``ids``, a frame with a column id or a short list."""
+    if isinstance(ids, list):
+        return df.withColumn(name, F.coalesce(F.col("id").isin(ids), F.lit(False)))
+    hits = ids.select("id").distinct().withColumn(name, F.lit(True))
+    return df.join(hits, "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def rename(docs: DataFrame, id: str, title: str, at: str) -> DataFrame:
@@ -151,7 +157,7 @@ def toggle_favorite(docs: DataFrame, id: str, at: str) -> DataFrame:
     return touch(docs, [id], at, {"favorite": ~F.col("favorite")})
 
 
-def move_documents(docs: DataFrame, folders: DataFrame, ids: list[str], folder: str | None, at: str) -> DataFrame:
+def move_documents(docs: DataFrame, folders: DataFrame, ids: DataFrame | list[str], folder: str | None, at: str) -> DataFrame:
     if folder is not None and live(folders).where(F.col("id") == folder).isEmpty():
         raise ValueError("no such folder")
     return touch(docs, ids, at, {"folder_id": F.lit(folder).cast("string")})
@@ -161,9 +167,10 @@ def mark_opened(docs: DataFrame, id: str, at: str) -> DataFrame:
     return docs.withColumn("opened_at", F.when(F.col("id") == id, F.lit(at).cast("timestamp")).otherwise(F.col("opened_at")))
 
 
-def trash_documents(docs: DataFrame, ids: list[str], at: str) -> DataFrame:
+def trash_documents(docs: DataFrame, ids: DataFrame | list[str], at: str) -> DataFrame:
     """Tombstones for live documents, one time for all; neither revision nor update time changes."""
-    return docs.withColumn("deleted_at", F.when(F.col("id").isin(ids), F.coalesce("deleted_at", F.lit(at).cast("timestamp"))).otherwise(F.col("deleted_at")))
+    gone = F.when(F.col("_hit"), F.coalesce("deleted_at", F.lit(at).cast("timestamp"))).otherwise(F.col("deleted_at"))
+    return marked(docs, ids).withColumn("deleted_at", gone).select(docs.columns)
 
 
 def restore_documents(docs: DataFrame, folders: DataFrame, ids: list[str] | None) -> tuple[DataFrame, DataFrame]:
@@ -186,11 +193,18 @@ def folder_summary(docs: DataFrame) -> DataFrame:
     return live(docs).groupBy("folder_id").agg(F.count("*").alias("documents"), F.sum("size_bytes").alias("bytes"), F.sum(F.col("favorite").cast("bigint")).alias("favorites"), F.max("updated_at").alias("newest"))
 
 
-def merge_documents(pages: DataFrame, ids: list[str]) -> DataFrame:
-    """(page_id, position): the pages of the given documents, in the given order of documents, numbered from 0."""
-    order = F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("doc_id"))
-    some = pages.where(F.col("doc_id").isin(ids))
-    return some.withColumn("position", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order, "page_index", "page_id")) - 1).select("page_id", "position")
+def merge_documents(pages: DataFrame, ids: DataFrame | list[str]) -> DataFrame:
+    """(page_id, position): the pages of the given documents, in the given order of documents, numbered from 0.
+
+    ``ids`` is a list or a frame (id, place). A document's pages are numbered by document; its first number is the sum of
+    the counts before it, so only counts by document meet in one place.
+    """
+    order = pages.sparkSession.createDataFrame([(i, k) for k, i in enumerate(ids)], "id string, place int") if isinstance(ids, list) else ids
+    some = pages.join(order.withColumnRenamed("id", "doc_id"), "doc_id")
+    counts = some.groupBy("place").agg(F.count("*").alias("n"))
+    before = counts.select("place", (F.sum("n").over(W.orderBy("place")) - F.col("n")).alias("before"))
+    own = F.row_number().over(W.partitionBy("place").orderBy("page_index", "page_id")) - 1
+    return some.withColumn("own", own).join(before, "place").select("page_id", (F.col("before") + F.col("own")).cast("int").alias("position"))
 
 
 def merged_title(titles: list[str]) -> str:

@@ -214,7 +214,7 @@ def laid_out_pages(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", "text").mapInPandas(run, "doc_id bigint, pages int, words int")
 
 
-@query()
+@query(f"SELECT id, true AS opened, true AS bound FROM {DOCS} WHERE title IS NOT NULL")
 def sealed_titles(spark, d):
     """Titles sealed and opened again: all must come back, none under another id."""
     from parchmint.functions.vault import derive_key, seal, unseal

@@ -131,11 +131,11 @@ def search_live_documents(spark, d):
 
 
 @query(
-    "SELECT field, count(*)::BIGINT AS postings, count(DISTINCT token)::BIGINT AS tokens FROM (" + " UNION ALL ".join(f"SELECT id, '{k}' AS field, unnest({toks(c)}) AS token FROM {SEARCH}" for k, c in (("title", "title"), ("notes", "notes"), ("type", "type"), ("content", "content"), ("folder", "folder_path"))) + ") GROUP BY field"
+    "SELECT field, count(*)::BIGINT AS postings, count(DISTINCT token)::BIGINT AS tokens FROM (" + " UNION ALL ".join(f"SELECT id, '{k}' AS field, unnest({toks(c)}) AS token FROM {SEARCH}" for k, c in (("title", "title"), ("notes", "notes"), ("type", "type"), ("content", "content"), ("folder", "folder_path"), ("tags", "array_to_string(tags, ' ')"))) + ") GROUP BY field"
 )
 def index_statistics(spark, d):
     """Size of the inverted index by field."""
-    p = S.build_postings(search_rows(spark, d)).where(F.col("field").isin("title", "notes", "type", "content", "folder"))
+    p = S.build_postings(search_rows(spark, d)).where(F.col("field").isin("title", "notes", "type", "content", "folder", "tags"))
     return p.groupBy("field").agg(F.count("*").alias("postings"), F.countDistinct("token").alias("tokens"))
 
 
@@ -144,11 +144,19 @@ def normalized_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", T.normalize(F.col("text")).alias("norm"))
 
 
-@query(f"SELECT a.issuer_id AS a, b.issuer_id AS b, levenshtein(a.n, b.n)::INTEGER AS distance FROM (SELECT issuer_id, {norm('name')} AS n FROM issuers) a JOIN (SELECT issuer_id, {norm('name')} AS n FROM issuers) b ON a.issuer_id < b.issuer_id AND left(a.n, 6) = left(b.n, 6) WHERE levenshtein(a.n, b.n) <= 6")
+@query(f"SELECT a.issuer_id AS a, b.issuer_id AS b, levenshtein(a.n, b.n)::INTEGER AS distance FROM (SELECT issuer_id, {norm('name')} AS n FROM issuers) a JOIN (SELECT issuer_id, {norm('name')} AS n FROM issuers) b ON a.issuer_id < b.issuer_id WHERE levenshtein(a.n, b.n) <= 6")
 def name_distances(spark, d):
     n = table(spark, d, "issuers").select("issuer_id", T.normalize(F.col("name")).alias("n"))
     a, b = n.select(F.col("issuer_id").alias("a"), F.col("n").alias("na")), n.select(F.col("issuer_id").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, F.substring("na", 1, 6) == F.substring("nb", 1, 6)).where("a < b")
+    # of seven pieces one survives six edits, moved by six places at most; the probes of the other name meet it by key
+    piece = lambda c, k: F.struct(F.lit(k).alias("k"), F.length(c).alias("long"), F.substring(c, F.floor(F.length(c) * k / 7).cast("int") + 1, (F.floor(F.length(c) * (k + 1) / 7) - F.floor(F.length(c) * k / 7)).cast("int")).alias("piece"))
+    cut = a.select("a", "na", F.explode(F.array(*[piece(F.col("na"), k) for k in range(7)])).alias("p")).select("a", "na", "p.*")
+    spans = lambda long, k: (F.floor(long * k / 7), F.floor(long * (k + 1) / 7) - F.floor(long * k / 7))
+    probe = b.select("b", "nb", F.explode(F.sequence(F.greatest(F.length("nb") - 6, F.lit(0)), F.length("nb") + 6)).alias("long")).select("*", F.explode(F.array(*[F.lit(k) for k in range(7)])).alias("k"))
+    at, size = spans(F.col("long"), F.col("k"))
+    probe = probe.select("b", "nb", "long", "k", size.cast("int").alias("size"), F.explode(F.sequence(F.greatest(at - 6, F.lit(0)), at + 6)).alias("at"))
+    probe = probe.select("b", "nb", "long", "k", F.expr("substring(nb, cast(at as int) + 1, size)").alias("piece")).distinct()
+    pairs = cut.join(probe, ["long", "k", "piece"]).where("a < b").select("a", "b", "na", "nb").distinct()
     return pairs.select("a", "b", T.edit_distance(F.col("na"), F.col("nb"), 6).alias("distance")).where("distance <= 6")
 
 
@@ -376,10 +384,23 @@ def invoice_totals(spark, d):
     )
 
 
-@query(f"SELECT id, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(list_last(string_split_regex(title, '[\\\\/]')), '[\\x00-\\x1f\\x7f<>:\"|?*]', ' ', 'g'), '[\\s ]+', ' ', 'g')), '^\\.+', ''), '[. ]+$', '') || '.pdf' AS file FROM {DOCS} WHERE length(title) BETWEEN 1 AND 100 AND NOT regexp_matches(title, '(?i)\\.(pdf|jpe?g|png|txt|docx|zip)\\W*$') AND length(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(list_last(string_split_regex(title, '[\\\\/]')), '[\\x00-\\x1f\\x7f<>:\"|?*]', ' ', 'g'), '[\\s ]+', ' ', 'g')), '^\\.+', ''), '[. ]+$', '')) > 0")
+@query(
+    f"WITH a AS (SELECT id, trim(regexp_replace(regexp_replace(list_last(string_split_regex(title, '[\\\\/]')), '[\\x00-\\x1f\\x7f<>:\"|?*]', ' ', 'g'), '[\\s\u00a0]+', ' ', 'g')) AS s FROM {DOCS}), b AS (SELECT id, regexp_replace(regexp_replace(s, '^\\.+', ''), '[. ]+$', '') AS s FROM a), "
+    "c AS (SELECT id, substr(CASE WHEN regexp_matches(CASE WHEN strpos(s, '.') > 1 THEN regexp_replace(s, '\\.[^.]*$', '') ELSE s END, '(?i)^(con|prn|aux|nul|com\\d|lpt\\d)$') THEN '_' || s ELSE s END, 1, 120) AS s FROM b) "
+    "SELECT id, regexp_replace(CASE WHEN length(s) > 0 THEN s ELSE 'document' END, '(?i)\\.(pdf|jpe?g|png|txt|docx|zip)$', '') || '.pdf' AS file FROM c"
+)
 def export_names(spark, d):
-    t = docs(spark, d).where("length(title) between 1 and 100").where(~F.col("title").rlike(r"(?i)\.(pdf|jpe?g|png|txt|docx|zip)\W*$"))
-    return t.select("id", A.sanitize_file_name(F.col("title"), "").alias("s"), A.export_file_name(F.col("title"), "pdf").alias("file")).where("s <> ''").select("id", "file")
+    return docs(spark, d).select("id", A.export_file_name(F.col("title"), "pdf").alias("file"))
+
+
+@query(
+    "WITH t(n, name) AS (VALUES (1, 'a/b\\rapport.final.PDF'), (2, ' ..caché.txt. '), (3, 'CON'), (4, 'nul.txt'), (5, '???'), (6, ''), (7, 'x:y|z?.docx'), (8, 'archive.tar.zip'), (9, repeat('long ', 40))) "
+    "SELECT n, CASE n WHEN 1 THEN 'rapport.final' WHEN 2 THEN 'caché' WHEN 3 THEN '_CON' WHEN 4 THEN '_nul' WHEN 5 THEN 'document' WHEN 6 THEN 'document' WHEN 7 THEN 'x y z ' WHEN 8 THEN 'archive.tar' ELSE substr(rtrim(name), 1, 120) END || '.pdf' AS file FROM t"
+)
+def export_names_of_hard_titles(spark, d):
+    """Paths, reserved and missing names, points around, and names that are too long."""
+    hard = [(1, "a/b\\rapport.final.PDF"), (2, " ..caché.txt. "), (3, "CON"), (4, "nul.txt"), (5, "???"), (6, ""), (7, "x:y|z?.docx"), (8, "archive.tar.zip"), (9, "long " * 40)]
+    return spark.createDataFrame(hard, "n int, name string").select("n", A.export_file_name(F.col("name"), "pdf").alias("file"))
 
 
 # -- images, levels, geometry ---------------------------------------------------------------------------------------------------

@@ -29,13 +29,16 @@ def build_session(app: str = "parchmint", master: str | None = None, **conf: str
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests,
-    a laptop) a temporary folder is taken. A lost executor then costs no recomputation of the steps before.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset, a temporary folder is taken
+    if all runs in this process (tests, a laptop), else an error is raised: executors elsewhere could not read it. A
+    lost executor then costs no recomputation of the steps before.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="parchmint-checkpoint-"))
     return df.checkpoint(eager=True)
 

@@ -55,12 +55,16 @@ def sniff(data: bytes) -> str:
 
 
 def sniff_column(content: Column) -> Column:
-    """The same by the first bytes in SQL, but for the test of text (``unknown`` there)."""
-    h = F.hex(F.substring(content, 1, 12))
-    c = F.when(F.lit(False), "")
+    """The same in SQL, from the length and the first bytes, but for the test of text (``unknown`` there)."""
+    h, start = F.hex(F.substring(content, 1, 12)), F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
+    pdf = F.instr(start, "%PDF-") > 0
+    c = F.when(h.startswith("52494646") & (F.substring(h, 17, 8) == "57454250"), "webp")
+    c = c.when((F.substring(h, 9, 8) == b"ftyp".hex()) & F.substring(h, 17, 8).isin([k.hex().upper() for k in HEIC]), "heic")
     for mark, kind in SIGNATURES:
-        c = c.when(h.startswith(mark.hex().upper()), kind)
-    return c.when(h.startswith("52494646") & (F.substring(h, 17, 8) == "57454250"), "webp").when(F.instr(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"), "%PDF-") > 0, "pdf").otherwise("unknown")
+        here = h.startswith(mark.hex().upper())
+        here = here & (F.octet_length(content) > 26) if kind == "bmp" else here & ~pdf if kind in ("zip", "ole") else here
+        c = c.when(here, kind)
+    return c.when(pdf, "pdf").when(start.rlike(r"(?i)^\s*(<\?xml[^>]*>\s*)?<svg[\s>]"), "svg").otherwise("unknown")
 
 
 def read_zip(data: bytes) -> dict[str, bytes]:
@@ -254,8 +258,11 @@ def format_number(v: float) -> str:
     return str(int(v)) if v == int(v) and abs(v) < 1e15 else repr(round(v, 10))
 
 
-def parse_xlsx(files: dict[str, bytes]) -> list[dict]:
-    """A heading and a table for each sheet: shared and inline strings, booleans, errors, dates by style, cached formulas."""
+def parse_xlsx(files: dict[str, bytes], most_rows: int = MOST_ROWS, most_columns: int = MOST_COLUMNS) -> list[dict]:
+    """A heading and a table for each sheet: shared and inline strings, booleans, errors, dates by style, cached formulas.
+
+    Cells beyond ``most_rows`` and ``most_columns`` are left out; ``truncated`` of the table says so.
+    """
     book = parse_xml(files["xl/workbook.xml"])
     links = rels(files, "xl/workbook.xml")
     shared = ["".join(t.text() for t in s.all("t")) for s in parse_xml(files["xl/sharedStrings.xml"]).children("si")] if "xl/sharedStrings.xml" in files else []
@@ -274,6 +281,7 @@ def parse_xlsx(files: dict[str, bytes]) -> list[dict]:
         if part not in files:
             continue
         rows: dict[int, dict[int, str]] = {}
+        cut = False
         for c in parse_xml(files[part]).all("c"):
             col, row = parse_cell_ref(c.attrs.get("r", ""))
             kind, v = c.attrs.get("t", "n"), c.child("v")
@@ -290,11 +298,13 @@ def parse_xlsx(files: dict[str, bytes]) -> list[dict]:
                 val = raw
             else:
                 val = excel_date(float(raw)) if int(c.attrs.get("s", 0)) in dates else format_number(float(raw))
-            if row < MOST_ROWS and col < MOST_COLUMNS:
+            if row < most_rows and col < most_columns:
                 rows.setdefault(row, {})[col] = val
+            else:
+                cut = True
         width = max((max(r) + 1 for r in rows.values() if r), default=0)
         table = [[r.get(k, "") for k in range(width)] for _, r in sorted(rows.items()) if any(r.values())]
-        out += [_block("heading", sheet.attrs.get("name", ""), 1), _block("table", rows=table)]
+        out += [_block("heading", sheet.attrs.get("name", ""), 1), _block("table", rows=table) | {"truncated": cut}]
     return out
 
 

@@ -13,11 +13,13 @@ from parchmint.functions import layout as L
 from parchmint.functions import pages as P
 from parchmint.functions import text as T
 from parchmint.functions import vault as V
+from parchmint.operators import duplicates as D
 from parchmint.operators import hierarchy as H
 from parchmint.operators import repository as R
 from parchmint.operators import search as S
 from parchmint.operators.components import connected_components
 from parchmint.operators.current import current_rows
+from parchmint.sources import packages as Q
 
 INVOICE = "EDF SA\n22-30 avenue de Wagram 75008 Paris\nFACTURE N° F-2024-0117\nDate : 12/03/2024\nClient : Jean Dupont\nConsommation électricité mars\nTotal HT 70,17 €\nTVA (20%) 14,03 €\nTotal TTC 84,20 €\nNet à payer 84,20 €"
 RECEIPT = "CARREFOUR MARKET\nTICKET DE CAISSE\nPain 1,20\nLait 0,99\nTOTAL 2,19 EUR\nCB ****1234\nMERCI DE VOTRE VISITE\n02.05.2024 18:32"
@@ -318,6 +320,75 @@ def test_layout():
     assert len(pages) > 1 and pages[0]["words"]
 
 
+def test_layout_measures():
+    """Places worked out from the stated measures: characters half as wide as their size."""
+    half = lambda t, f: len(t) * f.size / 2
+    blocks = [{"kind": "heading", "level": 1, "text": "Titre"}, {"kind": "paragraph", "text": "un\tdeux"}, {"kind": "list_item", "text": "x", "number": 3}, {"kind": "table", "rows": [["a", "b"], ["c"]]}]
+    (page,) = L.layout_blocks(blocks, measure_text=half)
+    places = [(w["text"], round(w["x"], 3), round(w["y"], 3), round(w["h"], 3)) for w in page["words"]]
+    assert places == [("Titre", 130, 139.625, 40.425), ("un", 130, 200.95, 23.1), ("deux", 163, 200.95, 23.1), ("3.", 163, 239.45, 23.1), ("x", 196, 239.45, 23.1), ("a", 138, 283.722, 19.635), ("b", 628, 283.722, 19.635), ("c", 138, 323.097, 19.635)]
+    assert page["text"] == "Titre\nun deux\n3. x\na\tb\nc\t\n"
+    lines = lambda n: [{"kind": "paragraph", "text": "\n".join(["mot"] * n)}]
+    full = int((1754 - 2 * 130) // 30.8)
+    assert len(L.layout_blocks(lines(full), measure_text=half)) == 1 and len(L.layout_blocks(lines(full + 1), measure_text=half)) == 2
+    assert len(L.layout_blocks([])) == 1 and len(L.layout_blocks([{"kind": "page_break"}, *lines(1), {"kind": "page_break"}])) == 1
+    # a heading goes to the next page with what follows it
+    pages = L.layout_blocks(lines(full - 1) + [{"kind": "heading", "level": 2, "text": "Suite"}, *lines(1)], measure_text=half)
+    assert [p["text"].split()[-2:] for p in pages] == [["mot", "mot"], ["Suite", "mot"]]
+    (page,) = L.layout_blocks([{"kind": "paragraph", "text": "mot", "align": "right"}, {"kind": "image"}], measure_text=half, picture_size=lambda at: (4000, 1000))
+    assert page["words"][0]["x"] == 1240 - 130 - 33 and page["pictures"][0]["w"] == 980 and page["pictures"][0]["h"] == 245
+    assert [x.text for x in L.wrap(L._tokens([{"text": "un ", "bold": True}, {"text": "x" * 25}], 20), 100, half, 1.4)] == ["un", "x" * 10, "x" * 10, "x" * 5]
+
+
+def test_anchor_groups(spark):
+    """Against the greedy pass over all pages."""
+    import random
+
+    rnd = random.Random(8)
+    base = [rnd.getrandbits(64) for _ in range(6)]
+    rows = []
+    for n in range(150):
+        h = rnd.choice(base)
+        for _ in range(rnd.choice([0, 0, 1, 2, 3, 4])):
+            h ^= 1 << rnd.randrange(64)
+        rows.append((f"p{n:03}", n // 2, h - (1 << 64) if h >> 63 else h, rnd.choice(["", "", "Facture", "Bail " * 60]), rnd.random() < 0.05))
+    rows += [("none", 1, None, "", False)]
+    df = spark.createDataFrame(rows, "page_id string, place int, h bigint, text string, blank boolean")
+    want, anchors = {}, []
+    for page, place, h, text, blank in sorted((r for r in rows if r[2] is not None and not r[4]), key=lambda r: (r[1], r[0])):
+        head = text.strip()[:200]
+        found = next((a for v, t, a in anchors if ((v ^ h) & (2**64 - 1)).bit_count() <= 5 and (not t or not head or t == head)), None)
+        if found is None:
+            anchors.append((h, head, page))
+        want[page] = found or page
+    assert {r.page_id: r.anchor for r in D.anchor_groups(df, "place").collect()} == want
+    assert D.anchor_groups(df.limit(0), "place").count() == 0
+    pairs = {(r.id_a, r.id_b, r.distance) for r in D.near_hashes(df, "page_id", "h", 7).collect()}
+    ok = [r for r in rows if r[2] is not None]
+    assert pairs == {(a[0], b[0], d) for a in ok for b in ok if a[0] < b[0] and (d := ((a[2] ^ b[2]) & (2**64 - 1)).bit_count()) <= 7}
+
+
+def test_folder_writes(spark):
+    from parchmint.operators import library as B
+
+    folders = spark.createDataFrame([("a", "Été", None), ("b", "Sous", "a")], "id string, name string, parent_id string")
+    folders = folders.withColumns({"created_at": F.lit(None).cast("timestamp"), "updated_at": F.lit(None).cast("timestamp"), "deleted_at": F.lit(None).cast("timestamp"), "color": F.lit(None).cast("string")})
+    for bad in (lambda: B.create_folder(folders, "c", " ete ", None, "2026-01-01"), lambda: B.create_folder(folders, "c", " ", None, "2026-01-01"), lambda: B.move_folder(folders, "a", "b", "2026-01-01"), lambda: B.rename_folder(folders, "zz", "x", "2026-01-01")):
+        with pytest.raises(ValueError):
+            bad()
+    assert B.create_folder(folders, "c", "Été", "a", "2026-01-01").count() == 3 and B.rename_folder(folders, "a", "ÉTÉ", "2026-01-01").where("name = 'ÉTÉ'").count() == 1
+    chain = spark.createDataFrame([(str(n), str(n - 1) if n else None) for n in range(200)], "id string, parent_id string")
+    assert H.closure(chain).where("id = '199'").count() == 200
+
+
+def test_sniffed_columns(spark):
+    """The column function agrees with the Python one."""
+    samples = [b"\xff\xd8\xff\xe0", b"BM" + b"x" * 10, b"BM" + b"x" * 30, b"\0\0\0\x18ftypheic", b"<svg xmlns=''>", b"<?xml version='1.0'?>\n<svg >", b"RIFF\0\0\0\0WEBP", b"PK\x03\x04 %PDF-1.4", b"PK\x03\x04aa", b"x%PDF-1", b"\x89PNG", b"\x00\x01\x02"]
+    df = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(samples)], "k int, b binary").select("k", Q.sniff_column(F.col("b")).alias("t"))
+    got = {r.k: r.t for r in df.collect()}
+    assert [got[k] for k in range(len(samples))] == [t if (t := Q.sniff(b)) != "text" else "unknown" for b in samples]
+
+
 def test_vault(spark):
     k, bad = V.derive_key("secret!", b"s" * 16, 1000), V.derive_key("autre!!", b"s" * 16, 1000)
     df = spark.createDataFrame([("d1", "texte"), ("d2", None)], "id string, t string").withColumn("s", V.seal(F.col("t"), k, F.col("id")))

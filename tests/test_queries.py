@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
-from parchmint.plans import more, registry  # noqa: F401
+from parchmint.plans import more, proofs, registry  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
