@@ -11,6 +11,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,78 +31,110 @@ _AT = r"(?:at|arobase|arobas|chiocciola|arroba|klammeraffe|ät)"
 _DOT = r"(?:dot|point|punto|punkt)"
 _DIGIT = "|".join(sorted(_SPELLED, key=len, reverse=True))
 
-# (what to look for, what to put there): a string with \\1 keeps the group, a function gets the match.
-_RULES: list[tuple[re.Pattern, object]] = [
-    (re.compile(r"(?<=[^\W_])[-‐‑¬\u00ad]\n(?=[^\W_])"), lambda m: "" if m.string[m.end()].islower() else "-"),
-    (re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]"), ""),
-    (re.compile("[" + "".join(_ALIKE) + "！-～]"), lambda m: _ALIKE.get(m.group(), unicodedata.normalize("NFKC", m.group()))),
-    (re.compile(rf"(?<=[\w.+-])\s*[(\[{{<]\s*(?:{_AT}|@)\s*[)\]}}>]\s*(?=[\w-]+(?:\.|\s*[(\[{{<]?\s*{_DOT}\b))", re.I), "@"),
-    (re.compile(rf"(?<=[\w.+-])\s+(?:{_AT})\s+(?=[\w-]+\s*[(\[{{<]?\s*(?:\.|{_DOT})\s*[)\]}}>]?\s*[a-z]{{2,}})", re.I), "@"),
-    (re.compile(r"(?<=[\w+-])(?:\s+@\s*|\s*@\s+)(?=[\w-]+(?:\.[\w-]+)*\.[a-z]{2,})", re.I), "@"),
-    (re.compile(rf"(?<=@)((?:[\w-]+\.)*[\w-]+)\s*[(\[{{<]?\s*(?<![a-z]){_DOT}(?![a-z])\s*[)\]}}>]?\s*(?=[a-z])", re.I), lambda m: m.group(1) + "."),
-    (re.compile(rf"(?<![^\W_])(?:(?:{_DIGIT}|\d)[\s.,-]+){{6,}}(?:{_DIGIT}|\d)(?![^\W_])", re.I), lambda m: re.sub(r"[^\W\d_]+", lambda w: _SPELLED.get(w.group().lower(), w.group()), m.group())),
+_OPEN, _SHUT = r"\s*[(\[{<]?\s*", r"\s*[)\]}>]?\s*"
+
+
+def _spelled_run(m: re.Match) -> list[tuple[int, int, str]]:
+    """Spelled digits as figures; single figures close up, so that they read as one number. A run of figures alone stays."""
+    units = list(re.finditer(r"[^\W\d_]+|\d+", m.group()))
+    if not any(u.group()[0].isalpha() for u in units):
+        return []
+    edits, at = [], None
+    for u in units:
+        start, end = m.start() + u.start(), m.start() + u.end()
+        if at is not None and len(u.group()) * (not u.group().isdigit() or len(u.group()) == 1) and at[1]:
+            edits.append((at[0], start, ""))
+        if u.group()[0].isalpha():
+            edits.append((start, end, _SPELLED.get(u.group().lower(), u.group())))
+        at = (end, not u.group().isdigit() or len(u.group()) == 1)
+    return edits
+
+
+# (what must be there, what to look for, what to put there): a function gets the match and may return several edits (start, end, text).
+_RULES: list[tuple[re.Pattern, re.Pattern, object]] = [
+    (re.compile(r"[-‐‑¬\u00ad]\n"), re.compile(r"(?<=[^\W_])[-‐‑¬\u00ad]\n(?=[^\W_])"), lambda m: "" if m.string[m.end()].islower() else "-"),
+    (_INVISIBLE := re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]"), _INVISIBLE, ""),
+    (_LOOKS := re.compile("[" + "".join(_ALIKE) + "！-～]"), _LOOKS, lambda m: _ALIKE.get(m.group(), unicodedata.normalize("NFKC", m.group()))),
+    (
+        _ATS := re.compile(rf"\b(?:{_AT})\b|@\s|\s@|[(\[{{<]\s*@", re.I),
+        re.compile(rf"(?<=\w)(?:\s+|{_OPEN}(?<![a-z])){_DOT}(?![a-z]){_SHUT}(?=[\w-]+(?:(?:\s+|{_OPEN}){_DOT}(?:\s+|{_SHUT})[\w-]+)*(?:\s*[(\[{{<]\s*(?:{_AT}|@)\s*[)\]}}>]\s*|\s+{_AT}\s+)[\w-]+\s*[(\[{{<]?\s*(?:\.|{_DOT}\b))", re.I),
+        lambda m: ".",
+    ),
+    (_ATS, re.compile(rf"(?<=[\w.+-])\s*[(\[{{<]\s*(?:{_AT}|@)\s*[)\]}}>]\s*(?=[\w-]+(?:\.|\s*[(\[{{<]?\s*{_DOT}\b))", re.I), "@"),
+    (_ATS, re.compile(rf"(?<=[\w.+-])\s+(?:{_AT})\s+(?=[\w-]+\s*[(\[{{<]?\s*(?:\.|{_DOT})\s*[)\]}}>]?\s*[a-z]{{2,}})", re.I), "@"),
+    (_ATS, re.compile(r"(?<=[\w+-])(?:\s+@\s*|\s*@\s+)(?=[\w-]+(?:\.[\w-]+)*\.[a-z]{2,})", re.I), "@"),
+    (re.compile("@"), re.compile(rf"(?<=@)((?:[\w-]+\.)*[\w-]+)\s*[(\[{{<]?\s*(?<![a-z]){_DOT}(?![a-z])\s*[)\]}}>]?\s*(?=[a-z])", re.I), lambda m: m.group(1) + "."),
+    (re.compile(rf"(?:\b(?:{_DIGIT})\b[\s.,-]+){{3}}", re.I), re.compile(rf"(?<![^\W_])(?:(?:{_DIGIT}|\d+)[\s.,-]+){{6,}}(?:{_DIGIT}|\d+)(?![^\W_])", re.I), _spelled_run),
 ]
-_RARE = re.compile("[​-‏⁠﻿­！-～" + "".join(_ALIKE) + rf"]|@|[^\W_][-‐‑¬\u00ad]\n|\b(?:{_AT})\b|(?:\b(?:{_DIGIT})\b[\s.,-]+){{3}}", re.I)
 
 
 class Mapped:
-    """A text and, for runs of its characters, where they stand in the source."""
+    """A text and, for runs of its characters, where they stand in the source.
 
-    __slots__ = ("text", "starts", "places", "fixed")
+    A run is (first character, its place, None) where the characters are those of the source, or (first character,
+    place, end) where all of them stand for the source between place and end.
+    """
+
+    __slots__ = ("text", "starts", "runs")
 
     def __init__(self, text: str):
-        self.text, self.starts, self.places, self.fixed = text, [0], [0], [False]
+        self.text, self.starts, self.runs = text, [0], [(0, 0, None)]
 
     def place(self, i: int) -> int:
         """Source position of character ``i``."""
-        k = bisect_right(self.starts, i) - 1
-        return self.places[k] if self.fixed[k] else self.places[k] + i - self.starts[k]
+        start, place, end = self.runs[bisect_right(self.starts, i) - 1]
+        return place + i - start if end is None else place
+
+    def end(self, i: int) -> int:
+        """Source position behind character ``i``."""
+        start, place, end = self.runs[bisect_right(self.starts, i) - 1]
+        return place + i - start + 1 if end is None else end
 
     def apply(self, rule: re.Pattern, out: object) -> None:
-        """Rewrite all matches; what a rule emits stands where its match began, and the rest keeps its own places."""
-        pieces, at, runs = [], 0, []
-        n = 0
+        """Rewrite all matches; what a rule emits stands for what it replaced, and the rest keeps its own places."""
+        edits: list[tuple[int, int, str]] = []
         for m in rule.finditer(self.text):
             new = out(m) if callable(out) else out
-            if new == m.group():
-                continue
-            for a, b in ((at, m.start()),):
-                if b > a:
-                    runs += self._runs(a, b, n)
-                    pieces.append(self.text[a:b])
-                    n += b - a
-            kept = 0
-            while kept < min(len(new), len(m.group())) and new[kept] == m.group()[kept]:
-                kept += 1
-            if kept:
-                runs += self._runs(m.start(), m.start() + kept, n)
-            if len(new) > kept:
-                runs.append((n + kept, self.place(m.start() + kept), True))
-            pieces.append(new)
-            n += len(new)
-            at = m.end()
-        if not pieces and at == 0:
+            edits += [(*m.span(), new)] if isinstance(new, str) else new
+        edits = [e for e in edits if self.text[e[0] : e[1]] != e[2]]
+        if not edits:
             return
-        if at < len(self.text):
-            runs += self._runs(at, len(self.text), n)
-            pieces.append(self.text[at:])
+        pieces, runs, at, n = [], [], 0, 0
+        for a, b, new in [*edits, (len(self.text), len(self.text), "")]:
+            while new and a < b and self.text[a] == new[0]:  # what stays as it is keeps its place
+                a, new = a + 1, new[1:]
+            if a > at:
+                runs += self._between(at, a, n)
+                pieces.append(self.text[at:a])
+                n += a - at
+            if new:
+                runs.append((n, self.place(a), self.end(max(a, b - 1))))
+                pieces.append(new)
+                n += len(new)
+            at = b
         self.text = "".join(pieces)
-        self.starts, self.places, self.fixed = [list(x) for x in zip(*runs)] if runs else ([0], [0], [False])
+        self.runs = runs or [(0, 0, None)]
+        self.starts = [r[0] for r in self.runs]
 
-    def _runs(self, a: int, b: int, n: int) -> list[tuple[int, int, bool]]:
-        k = bisect_right(self.starts, a) - 1
+    def _between(self, a: int, b: int, n: int) -> list[tuple]:
+        """The runs of characters ``a`` to ``b``, moved to begin at ``n``."""
         out = []
-        while k < len(self.starts) and self.starts[k] < b:
-            s = max(a, self.starts[k])
-            out.append((n + s - a, self.places[k] if self.fixed[k] else self.places[k] + s - self.starts[k], self.fixed[k]))
-            k += 1
+        for k in range(bisect_right(self.starts, a) - 1, len(self.runs)):
+            start, place, end = self.runs[k]
+            if start >= b:
+                break
+            s = max(a, start)
+            out.append((n + s - a, place + s - start if end is None else place, end))
         return out
 
 
 def deobfuscate(text: str) -> Mapped:
     m = Mapped(text)
-    if _RARE.search(text):
-        for rule, out in _RULES:
+    last, yes = None, False
+    for needs, rule, out in _RULES:
+        if needs is not last:
+            last, yes = needs, needs.search(m.text)
+        if yes:
             m.apply(rule, out)
     return m
 
@@ -187,9 +220,51 @@ NAMES = [
 ]
 _CAP = r"[A-ZÀ-Þ](?:[\w'’]+(?:-[A-ZÀ-Þ][\w'’]+)*|\.)"
 TITLED = re.compile(rf"(?<![\w.])(?:Mme|Mlle|Mrs|Mr|Ms|Miss|Herrn?|Frau|Sra\.|Srta\.|Sr\.|Sig\.ra|Sig\.|Signora?|Señora?|Monsieur|Madame|M\.(?=[ \n][A-ZÀ-Þ][a-zà-þ]))[ \n](?P<n>{_CAP}(?:,?[ \n]{_CAP}){{0,2}})")
+SIMPLE = re.compile(rf"(?<!\w)(?:(?:Dr|Prof|Dott|Dra|Dott\.ssa|Docteur|Doctor|Doktor|Professor|Professeur|Ma[iî]tre)\.?[ \n]|(?i:(?:please|veuillez|bitte|por favor|per favore)[ \n](?:contact|contacter|kontaktieren sie|contacte a|contattare)[ \n]))(?P<n>{_CAP}(?:[ \n]{_CAP}){{1,2}})")
 _NO_NAME = re.compile(r"^(?:le|la|les|the|der|die|das|el|il|lo|un|une|a|an|notre|votre|our|your|unser\w*|ihre?\w*|nostr\w+|vuestr\w+|nuestr\w+|sehr|damen|und|service|société|compagnie|banque|bank|banco|banca|résidence|residencia|residenza|verein|haus|gardien|caretaker|hausmeister|custode|conserje|bureau|agence|cabinet|mutuelle|régie|atelier|coopérative|consorzio|gestoría)\b", re.I)
 
 
+# One word of every phrase of the same place in NAMES, in lower case, with and without accents.
+NAME_CUES = [
+    ["intéress", "interess"],
+    ["bien", "cordial", "salut", "regards", "sincerely", "grüßen", "grüssen", "grussen", "grußen", "atentamente", "saludo"],
+    ["suivi"],
+    ["attention", "händen", "handen", "attenzione", "atención", "atencion"],
+    ["contact", "joindre", "appelez"],
+    ["client", "locataire", "customer", "tenant", "kund", "mieter", "inquilino", "conduttore"],
+    ["ayants", "begünstigt", "begunstigt", "berechtigt", "erben", "aventi", "beneficiar", "derechohabientes", "entitled", "heirs", "eigentümer", "eigentumer", "propri", "owner", "propiet"],
+    ["ayants", "begünstigt", "begunstigt", "berechtigt", "erben", "aventi", "beneficiar", "derechohabientes", "entitled", "heirs"],
+    ["nom", "name", "ausgestellt", "intestat"],
+    ["vu", "chez", "gesprochen", "visto", "parlato", "spoke", "hablado"],
+    ["appeler", "rückruf", "ruckruf", "llamar", "chiamare"],
+    ["call"],
+    ["signed", "unterschrieben", "unterzeichnet", "firmato", "firmado", "signé", "signe"],
+    ["contact", "ansprechpartner", "referente", "interlocut"],
+    ["please", "erreichen", "chiamare", "llame"],
+    [")"],
+]
+_STREET_END = re.compile(r"(?:stra(?:ß|ss|s)e|str\.|weg|gasse|allee|ring|damm|ufer|platz|steig|zeile)[ \n]\d", re.I)
+_TOOL: list = []
+
+
+def _name_bits(text: str) -> int:
+    """Which of NAMES a text needs, one bit each, by one pass of an automaton over their cues."""
+    if not _TOOL:
+        bits: dict[str, int] = {}
+        for k, cues in enumerate(NAME_CUES):
+            for w in cues:
+                bits[w] = bits.get(w, 0) | 1 << k
+        tool = ahocorasick.Automaton()
+        for w, b in bits.items():
+            tool.add_word(w, b)
+        tool.make_automaton()
+        _TOOL.append(tool)
+    seen = 0
+    for _, b in _TOOL[0].iter(text.lower()):
+        seen |= b
+    return seen
+
+
 LEARN_SUPPORT = 3
 _WORDS = re.compile(rf"(?<![\w'’-])(?:[A-ZÀ-Þ]\.|[A-ZÀ-Þ][\w'’]+(?:-[A-ZÀ-Þ][\w'’]+)*)(?:,?[ \n](?:[A-ZÀ-Þ]\.|[A-ZÀ-Þ][\w'’]+(?:-[A-ZÀ-Þ][\w'’]+)*))+")
 
@@ -237,18 +312,22 @@ def _detect(t: str) -> list[tuple[int, int, str]]:
         digits = sum(c.isdigit() for c in x.group())
         if digits >= 8 and not _NOT_ID.search(t[max(0, x.start() - 30) : x.start()]):
             add(x.start(), x.end(), "PHONE")
-    for p in ADDRESS:
+    for k, p in enumerate(ADDRESS):
+        if k == 2 and not _STREET_END.search(t):
+            continue
         for x in p.finditer(t):
             after = _AFTER.match(t, x.end())
             if after.group() or not _NOT_STREET.search(x.group()):
                 add(x.start(), after.end() if after else x.end(), "ADDRESS")
-    for p in NAMES:
+    bits = _name_bits(t)
+    for k, p in enumerate(NAMES):
+        for x in p.finditer(t) if bits >> k & 1 else ():
+            if not _NO_NAME.match(x.group("n")):
+                add(x.start("n"), x.end("n"), "NAME")
+    for p in (TITLED, SIMPLE):
         for x in p.finditer(t):
             if not _NO_NAME.match(x.group("n")):
                 add(x.start("n"), x.end("n"), "NAME")
-    for x in TITLED.finditer(t):
-        if not _NO_NAME.match(x.group("n")):
-            add(x.start("n"), x.end("n"), "NAME")
     return spans
 
 
@@ -259,7 +338,7 @@ def _placed(m: Mapped, spans: list, lexicon) -> list[tuple[int, int, str]]:
         for a, b in _known_names(m.text, lexicon):
             if all(b <= x or a >= y for x, y, _ in spans):
                 spans.append((a, b, "NAME"))
-    return sorted((m.place(a), m.place(b - 1) + 1, kind) for a, b, kind in spans)
+    return sorted((m.place(a), m.end(b - 1), kind) for a, b, kind in spans)
 
 
 def find_personal(text: str, lexicon: frozenset = frozenset()) -> list[tuple[int, int, str]]:
@@ -301,19 +380,19 @@ def _detect_all(batches):
         for t in pdf["t"]:
             m = deobfuscate(t)
             spans = _detect(m.text)
-            parts = _name_parts(t, _placed(m, spans, None))
-            rows.append(([x[0] for x in spans], [x[1] for x in spans], [x[2] for x in spans], parts, sorted(_candidate_parts(m.text))))
+            placed = _placed(m, spans, None)
+            rows.append(([x[:2] for x in placed], [x[:2] for x in spans], [x[2] for x in placed], [x[2] for x in spans], _name_parts(t, placed), sorted(_candidate_parts(m.text))))
         if rows:
-            yield pdf.assign(**dict(zip(("a", "b", "kind", "parts", "words"), map(list, zip(*rows)))))
+            yield pdf.assign(**dict(zip(("placed", "plain", "placed_kind", "plain_kind", "parts", "words"), map(list, zip(*rows)))))
 
 
 def _detected(texts: DataFrame) -> DataFrame:
-    """Row number, src, rec_id, t, finds without a lexicon, parts of the names among them and the words that a lexicon may know.
+    """Row number, src, rec_id, t, finds without a lexicon (in the text and in its plain form), parts of the names among them and the words that a lexicon may know.
 
     Cut once: the costly patterns run a single time, though the lexicon comes from all texts and goes back to all.
     """
     some = texts.where(F.length("t") > 0).select(F.monotonically_increasing_id().alias("rid"), "src", "rec_id", "t")
-    schema = "rid bigint, src string, rec_id string, t string, a array<int>, b array<int>, kind array<string>, parts array<string>, words array<string>"
+    schema = "rid bigint, src string, rec_id string, t string, placed array<array<int>>, plain array<array<int>>, placed_kind array<string>, plain_kind array<string>, parts array<string>, words array<string>"
     return cut_lineage(some.mapInPandas(_detect_all, schema))
 
 
@@ -332,9 +411,9 @@ def _with_known(found: DataFrame) -> DataFrame:
 
 
 def _finished(row) -> list[tuple[int, int, str]]:
-    spans = list(zip(row.a, row.b, row.kind))
-    known = frozenset(row.known) if row.known is not None else frozenset()
-    return _placed(deobfuscate(row.t), spans, known) if spans or known else []
+    if row.known is None:
+        return [(a, b, kind) for (a, b), kind in zip(row.placed, row.placed_kind)]
+    return _placed(deobfuscate(row.t), [(a, b, kind) for (a, b), kind in zip(row.plain, row.plain_kind)], frozenset(row.known))
 
 
 def _finish_spans(batches):
