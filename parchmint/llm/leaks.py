@@ -7,6 +7,8 @@ shift 0; there a bucket of the patterns with that suffix is filtered by their fi
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,9 +58,27 @@ def search(words: list[str], shift: dict, bucket: dict, m: int) -> set:
     return hits
 
 
-def _scan(parts: list, m: int):
+_BUILT: dict[str, list] = {}
+
+
+def _parts(rows) -> list[list[tuple]]:
+    """The items' pieces in parts of about ``PART_WORDS`` words."""
+    parts, size = [[]], 0
+    for r in rows:
+        if size + len(r.w) > PART_WORDS and parts[-1]:
+            parts.append([])
+            size = 0
+        parts[-1].append((r.i, list(r.w)))
+        size += len(r.w)
+    return parts
+
+
+def _scan(parts: list, m: int, name: str):
     def run(batches):
-        tables = [_tables(p, m) for p in parts]
+        if name not in _BUILT:  # one set of tables for all tasks of a worker
+            _BUILT.clear()
+            _BUILT[name] = [_tables(p, m) for p in parts]
+        tables = _BUILT[name]
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc"], pdf["t"]):
@@ -73,29 +93,30 @@ def _scan(parts: list, m: int):
     return run
 
 
-def leaked_items(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, m: int = 10) -> DataFrame:
+def leaked_items(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, m: int = 10, most_words: int = MOST_WORDS) -> DataFrame:
     """(key, item_key): the texts that contain ``m`` consecutive words of an item, words in normal form.
 
     One row per text and item, exact in both directions. Items with fewer words match nothing, null and empty texts
-    neither; repeated texts and items each count by their own key. The items are the bounded side: together at most
-    ``MOST_WORDS`` words (checked, an error beyond), sent with the task; their tables are built in parts of ``PART_WORDS``
-    words and each text is searched with every part while it is at hand. No shuffle of the corpus.
+    neither; repeated texts and items each count by their own key. The items are the smaller side: about ``most_words``
+    of their words are sent with the tasks of one pass over the corpus, and as many passes are made as they need. A
+    worker builds the tables once, in parts of ``PART_WORDS`` words, and searches each text with every part while it is at
+    hand. No shuffle of the corpus; with several passes, one of the finds.
     """
     rows = items.where(F.col(item_key).isNotNull()).select(F.col(item_key).alias("i"), F.split(normalize(F.col(item_text)), " ").alias("w")).where(F.size("w") >= m).distinct()
     total = rows.agg(F.sum(F.size("w").cast("bigint"))).first()[0] or 0
-    if total > MOST_WORDS:
-        raise ValueError(f"the items have {total} words, more than {MOST_WORDS}: search them in several calls")
-    parts, size = [[]], 0
-    for r in rows.collect():
-        if size + len(r.w) > PART_WORDS and parts[-1]:
-            parts.append([])
-            size = 0
-        parts[-1].append((r.i, list(r.w)))
-        size += len(r.w)
-    kinds = dict(corpus.dtypes) | {"": ""}
-    schema = f"doc {kinds[key]}, item {dict(items.dtypes)[item_key]}"
+    schema = f"doc {dict(corpus.dtypes)[key]}, item {dict(items.dtypes)[item_key]}"
     some = spread(corpus.where(F.length(text) >= 2 * m - 1).select(F.col(key).alias("doc"), F.col(text).alias("t")))
-    found = some.select("doc", normalize(F.col("t")).alias("t")).mapInPandas(_scan(parts, m), schema)
+    some = some.select("doc", normalize(F.col("t")).alias("t"))
+    passes = max(1, -(-total // most_words))
+    # long items go in pieces that overlap by all but one word of a pattern
+    cuts = F.sequence(F.lit(0), F.greatest(F.size("w") - m, F.lit(0)), F.lit(PART_WORDS))
+    pieces = rows.select("i", F.explode(F.transform(cuts, lambda k: F.slice("w", k + 1, PART_WORDS + m - 1))).alias("w"))
+    found = None
+    for k in range(passes):
+        own = pieces if passes == 1 else pieces.where(F.pmod(F.xxhash64("i", "w"), F.lit(passes)) == k)
+        hits = some.mapInPandas(_scan(_parts(own.toLocalIterator()), m, uuid.uuid4().hex), schema)
+        found = hits if found is None else found.union(hits)
+    found = found if passes == 1 else found.distinct()
     return found.select(F.col("doc").alias(key), F.col("item").alias(item_key))
 
 
