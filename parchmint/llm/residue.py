@@ -18,18 +18,22 @@ from parchmint.session import fresh_name, spread
 # Words that mark a bracketed phrase as a note to the writer.
 _FILL = r"(?:to be |à |a |da |por |zu )?(?:insert|fill|enter|replace|complete|compl[ée]t|compil|rellen|remplir|renseign|saisi|inserir|inserisc|einsetz|einf[üu]g|ausf[üu]ll|eintrag|your |votre |vostro|su |tu |ihr|name|nom|nome|nombre|date|datum|data|fecha|adresse|address|company|client|kunde|tbd|todo)"
 
+# Variables of shells and systems, and keys of a keyboard, which stand for themselves.
+_SHELL = r"HOME|PATH|USER|USERNAME|USERPROFILE|SHELL|PWD|TMP|TEMP|TMPDIR|APPDATA|LOCALAPPDATA|PROGRAMDATA|PROGRAMFILES|WINDIR|SYSTEMROOT|SYSTEMDRIVE|HOSTNAME|COMPUTERNAME|LANG|EDITOR|TERM|JAVA_HOME|PYTHONPATH|LD_LIBRARY_PATH|XDG_\w+"
+_KEYS = r"enter|return|esc|escape|tab|space|shift|ctrl|control|alt|del|delete|backspace|insert|home|end|pgup|pgdn|up|down|left|right|entrée|échap|eingabe|umschalt|strg|entf|invio|canc|intro|supr"
+
 # Grammars of unfilled placeholders, by delimiter.
 PLACEHOLDERS = [
     r"\{\{[^{}\n]{1,60}\}\}",
-    r"\$\{[^{}\n]{1,60}\}",
+    r"\$\{(?!(?:" + _SHELL + r")\})[^{}\n]{1,60}\}",
     r"(?<![\w$])\{(?:\d{1,3}|[a-z][\w.]{2,40})\}",
     r"<%=?[^%\n]{1,60}%>",
-    r"\[\[[^\[\]\n]{1,60}\]\]",
+    r"\[\[(?![A-ZÀ-Þ][^\[\]\n]*[a-zà-ÿ][^\[\]\n_]*\]\])[^\[\]\n]{1,60}\]\]|\[\[(?i:" + _FILL + r")[^\[\]\n]{0,50}\]\]",
     r"<<[^<>\n]{1,60}>>",
-    r"«[^\W\d_][\w.-]{1,40}»",
-    r"<(?!/?(?:p|br|b|i|u|a|li|ul|ol|td|tr|th|h\d|em|strong|div|span|table|html|body|head|script|code|pre)\b)[a-zà-ÿ][a-zà-ÿ]+(?:[ _-][a-zà-ÿ]+){0,5}>",
+    r"«(?:[^\W\d_]+[_.][\w.-]{1,40}|[A-ZÀ-Þ][\w.-]{1,40})»",
+    r"<(?!/?(?:p|br|b|i|u|a|li|ul|ol|td|tr|th|h\d|em|strong|div|span|table|html|body|head|script|code|pre)\b)(?!(?:" + _KEYS + r")\b)[a-zà-ÿ][a-zà-ÿ]+(?:[ _-][a-zà-ÿ]+){0,5}>",
     r"\[(?:[A-ZÀ-Þ]{2,}(?:[ '’_-][A-ZÀ-Þ]{1,})+|(?i:" + _FILL + r")[^\[\]\n]{0,50})\]",
-    r"(?<![\w%])%[A-Z][A-Z_]{2,40}%",
+    r"(?<![\w%])%(?!(?:" + _SHELL + r")%)[A-Z][A-Z_]{2,40}%",
     r"@@[A-Za-z_]{2,40}@@",
     r"(?<![\w#])#[A-Z][A-Z_]{2,40}#",
     r"\$\$[A-Za-z_]{2,40}\$\$",
@@ -74,6 +78,7 @@ _BESIDE = [
     r"\b(?:retour à|back to|return to|zur startseite|zurück|torna(?:re)? a|volver a)\w*\b.{0,30}$",
     r"^\s*at \S+\([^()]*\)\s*$|^\s*File \".*\", line \d+",
     r"\b(?:si le problème persiste|if (?:this|the problem) (?:goes on|persists)|wenn das problem|se il problema|si el problema)\b",
+    r"^(?:please|veuillez|merci de|bitte|por favor|per favore|si prega di)\b.{0,60}$",
     r"\b(?:sign in again|reconnectez-vous|slow down|melden sie sich|acceda de nuevo|accedere di nuovo)\b",
 ]
 
@@ -81,9 +86,11 @@ _BESIDE = [
 _ABOUT = re.compile(
     r"\b(?:expliqu\w+|explain\w*|erklär\w*|spieg\w+|explica\w*|guide|guida|guía|leitfaden|handbuch|manual\w*|manuel|formation|course|training|schulung|corso|curso|tutori\w+|"
     r"rappelle que|says|note que|notes that|noted|notiert|annota|anota|affichait|affiche que|screen (?:read|showed)|zeigte|mostrava|mostraba|mail merge|publipostage|serienbrief|stampa unione|"
-    r"combinación de correspondencia|example of|exemple de|syntax|syntaxe|wird ersetzt|is replaced|est remplacé|viene sostituito|se sustituye|placeholder is|escaped)\b",
+    r"combinación de correspondencia|example of|exemple de|format\w*|variable\w*|syntax|syntaxe|wird ersetzt|is replaced|est remplacé|viene sostituito|se sustituye|placeholder is|escaped)\b",
     re.I,
 )
+# Verbs and nouns by which a word in guillemets is a quotation or a title.
+_SAYS = re.compile(r"\b(?:dit|dire|répond\w*|demand\w+|cri\w+|lu|lit|lire|intitul\w+|titre|roman|film|livre|mot|terme|appel\w*|nomm\w+|dijo|dice|decir|respond\w+|grit\w+|libro|título|novela|película|palabra|llama\w*|disse|detto|ha risposto|parola|romanzo|titolo|chiam\w+|sagte|wort|buch|film|titel|genannt)\b", re.I)
 _QUOTED = re.compile(r"«\s[^»\n]*\s»|“[^”\n]*”|\"[^\"\n]*\"|„[^“”\n]*[“”]")
 _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(code|pre)\b.*?</\1>", re.S | re.I)
 _FILLED = re.compile("|".join(FILLER), re.I)
@@ -147,12 +154,13 @@ def residue_of(text: str | None) -> str | None:
     if needs & 1:
         for m in _ANY_HOLE.finditer(body):
             s = _sentence_at(body, *m.span())
-            if not _ABOUT.search(s) and not _CODE_LINE.search(_ANY_HOLE.sub("x", s)):
+            if not _ABOUT.search(s) and not _CODE_LINE.search(_ANY_HOLE.sub("x", s)) and not (m.group()[0] == "«" and _SAYS.search(s)):
                 return "placeholder"
     if needs & 2:
         for m in _FILLED.finditer(body):
             s = _sentence_at(body, *m.span())
-            if not _ABOUT.search(s) and _FILLED.search(_QUOTED.sub(" ", s)):
+            spoken = m.group().lower() in ("bla bla bla", "blah blah blah") and len(s.split()) > 3  # part of a sentence
+            if not spoken and not _ABOUT.search(s) and _FILLED.search(_QUOTED.sub(" ", s)):
                 return "filler"
     return _as_page(body) if needs & 4 and (_ERROR.search(body) or _SCRIPT.search(body)) else None
 

@@ -380,3 +380,61 @@ def test_against_sql(spark, name):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     got = queries.queries()[name](spark, str(data))
     assert sorted(map(tuple, got.collect())) == sorted(c.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall())
+
+
+def test_residue_told_from_ordinary_marks():
+    plain = [
+        "Il a répondu «oui» avant de partir.", "El director dijo «gracias» y salió.", "La parola «casa» è femminile.", "Il a lu «Germinal» hier soir.", "Set the variable ${HOME} to the folder.", "Open %APPDATA% and look.",
+        "Press <enter> to continue.", "See [[Paris]] for more.", "The format is DD/MM/YYYY as the law demands.", "He sang bla bla bla.",
+    ]
+    assert [residue.residue_of(t) for t in plain] == [None] * len(plain)
+    left = {"La pagina richiesta non esiste.": "error", "JavaScript is required. Please enable it.": "script", "Fait à «Civilité», le [NOM DU CLIENT].": "placeholder", "Cher «nom_client», merci.": "placeholder", "Cher [[objet]], votre lettre": "placeholder", "bla bla bla": "filler"}
+    assert {t: residue.residue_of(t) for t in left} == left
+
+
+@pytest.mark.parametrize("text", ["zéro six un deux trois quatre cinq six sept huit", "zero seven nine one two three four five six seven eight", "null eins sieben sechs eins zwei drei vier fünf sechs sieben", "cero cero tres cuatro seis uno dos tres cuatro cinco seis siete", "zero zero tre nove tre quattro cinque uno due tre quattro cinque sei"])
+def test_spelled_phones(text):
+    t = f"Call {text}, thank you"
+    assert personal.find_personal(t) == [(5, 5 + len(text), "PHONE")]
+
+
+@pytest.mark.parametrize(("text", "found", "kind"), [("john dot doe at example dot com", "john dot doe at example dot com", "EMAIL"), ("x jean (point) marc (point) dupont (at) example.com y", "jean (point) marc (point) dupont (at) example.com", "EMAIL"), ("Please contact John Smith.", "John Smith", "NAME"), ("Dr. Peter Jones came", "Peter Jones", "NAME"), ("at some point we met at noon", None, None)])
+def test_disguised_and_uncued(text, found, kind):
+    assert [(text[a:b], k) for a, b, k in personal.find_personal(text)] == ([(found, kind)] if found else [])
+
+
+def test_name_cues_pass_every_phrase():
+    """A text that a phrase finds has one of the phrase's cues."""
+    samples = ["l'interessée, Ana Bell, a signé", "Bien à vous, Ana Bell.", "Kind regards, Ana Bell.", "mit freundlichen Grüßen Ana Bell.", "dossier suivi par Ana Bell, ligne", "à l'attention de Ana Bell.", "zu Händen von Ana Bell.", "contactez Ana Bell au", "locataire : Ana Bell.", "Eigentümer: Ana Bell.", "ayants droit : Ana Bell.", "ayants droit : Ana Bell et Bob Cox.", "au nom de Ana Bell.", "a nombre de Ana Bell.", "vu avec Ana Bell.", "clé chez Ana Bell.", "rückruf Ana Bell, 01", "call Ana Bell back", "signe par Ana Bell.", "votre interlocutrice est Ana Bell.", "per domande chiamare Ana Bell al", "llame a Ana Bell en", "Ana Bell (gérante) vous appelle"]
+    for t in samples:
+        hits = [k for k, p in enumerate(personal.NAMES) if p.search(t)]
+        assert hits, t
+        assert all(personal._name_bits(t) >> k & 1 for k in hits), t
+
+
+def test_leaks_in_several_passes(spark):
+    """More words of items than one pass takes, and items longer than a part, give the same."""
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdef") for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(rnd.choice([12, 40, 300])))) for i in range(30)]
+    docs = [(d, " ".join([word() for _ in range(20)] + (t := items[d % 30][1].split())[(k := rnd.randrange(len(t) - 11)) : k + 11] + [word()])) for d in range(60)]
+    c, i = spark.createDataFrame(docs, "d bigint, text string"), spark.createDataFrame(items, "i bigint, text string")
+    once = sorted(map(tuple, leaks.leaked_items(c, "d", "text", i, "i", "text").collect()))
+    assert len(once) >= 60 and once == sorted(map(tuple, leaks.leaked_items(c, "d", "text", i, "i", "text", most_words=700).collect()))
+
+
+def test_leaks_with_long_items(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "PART_WORDS", 25)
+    text = " ".join(f"w{k}" for k in range(200))
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k, k + 10))) for k in range(191)], "d bigint, text string")
+    got = leaks.leaked_items(docs, "d", "text", spark.createDataFrame([(1, text)], "i bigint, text string"), "i", "text")
+    assert got.distinct().count() == 191
+
+
+def test_names_beyond_what_is_sent(spark, monkeypatch):
+    """Towns and known words that are too many to send meet the names by key, with the same links."""
+    reg = spark.createDataFrame([(1, "Boulangerie Ostvert SAS", "Weidental"), (2, "Boulangerie Corbergix SAS", "Aubrelay"), (3, "Garage Ostvert", "Mirelles")], "id bigint, name string, town string")
+    names = spark.createDataFrame([("OstvertBoulangerie",), ("Boulangerie Ostvert SAS, Weidental",), ("Boul. Corbergix",), ("Garage Ostvret Mirelles",), ("Autre",)], "typed string")
+    before = {r.typed: r.id for r in name_links.link_names(names, reg).collect()}
+    monkeypatch.setattr(name_links, "MOST_KNOWN", 0)
+    assert before and {r.typed: r.id for r in name_links.link_names(names, reg).collect()} == before
