@@ -26,7 +26,6 @@ COORDINATES = 64
 LEAF = 96
 FIRST_DEPTH = 2
 MOST_DEPTH = 9
-SALTS = 16
 PIVOTS = 8
 BLOCK = 256
 RECALL = 0.97
@@ -225,8 +224,9 @@ def _hot_nodes(rows: DataFrame, sets: DataFrame, links: DataFrame, threshold: fl
     named = cut_lineage(named)
     main = named.groupBy("node", "comp").count().groupBy("node").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
     rest = named.join(main, "node").where("comp <> main")
-    grid = rest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    other = named.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).select("node", "salt", F.col("cls").alias("cls2"), F.col("sk").alias("sk2"), F.col("comp").alias("comp2"))
+    blocks = named.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    grid = rest.join(blocks, "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    other = named.join(blocks, "node").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("bigint")).cast("int")).select("node", "salt", F.col("cls").alias("cls2"), F.col("sk").alias("sk2"), F.col("comp").alias("comp2"))
     met = grid.join(other, ["node", "salt"]).where("comp <> comp2").select("cls", "sk", "cls2", "sk2")
     known = known.union(_verified(met.mapInPandas(_compare_sides(least), "a bigint, b bigint"), sets, threshold))
     if not every:
@@ -274,6 +274,23 @@ def _walk(sigs: DataFrame, threshold: float, least: int, first: int, trees: int)
     return found, big, MOST_DEPTH
 
 
+def class_id(sets: Column) -> Column:
+    """The name of a set; ``_apart`` renames the few sets that share one with another."""
+    return F.xxhash64(sets)
+
+
+def _apart(sets: DataFrame) -> DataFrame:
+    """``sets`` with another ``cls`` for different sets of the same one, told by their second hash ``proof``.
+
+    Among 10 billion sets two or three pairs are to be expected, so the list of such names is short.
+    """
+    shared = sets.groupBy("cls").agg(F.min("proof").alias("first"), F.max("proof").alias("last")).where("first <> last").select("cls", "first")
+    if shared.isEmpty():
+        return sets
+    renamed = F.when(F.col("first").isNotNull() & (F.col("proof") != F.col("first")), F.xxhash64(F.lit(2), "cls", "proof")).otherwise(F.col("cls"))
+    return cut_lineage(sets.join(shared, "cls", "left").withColumn("cls", renamed).drop("first"))
+
+
 def near_duplicate_groups(df: DataFrame, key: str, words: Column, n: int = 5, threshold: float = 0.8, least_words: int = 20, trees: int = 12, degrees: bool = True) -> DataFrame:
     """(key, group_key, copies, links): one row per record that is alike another one.
 
@@ -283,7 +300,8 @@ def near_duplicate_groups(df: DataFrame, key: str, words: Column, n: int = 5, th
     which spares the comparisons inside groups of many records). Empty input gives no rows.
     """
     w = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), words.alias("w")).where(F.size("w") >= max(least_words, n))
-    sets = cut_lineage(w.select("key", F.array_sort(shingles(F.col("w"), n)).alias("sh")).withColumn("cls", F.xxhash64("sh")))
+    sets = w.select("key", F.array_sort(shingles(F.col("w"), n)).alias("sh")).withColumn("cls", class_id(F.col("sh"))).withColumn("proof", F.xxhash64(F.lit(1), "sh"))
+    sets = _apart(cut_lineage(sets))
     members = sets.select("key", "cls")
     once = sets.groupBy("cls").agg(F.first("sh").alias("sh"))
     links = cut_lineage(chosen_path_links(once, threshold, trees, degrees))

@@ -438,3 +438,15 @@ def test_names_beyond_what_is_sent(spark, monkeypatch):
     before = {r.typed: r.id for r in name_links.link_names(names, reg).collect()}
     monkeypatch.setattr(name_links, "MOST_KNOWN", 0)
     assert before and {r.typed: r.id for r in name_links.link_names(names, reg).collect()} == before
+
+
+def test_near_duplicates_with_equal_hashes(spark, monkeypatch):
+    """Different sets whose names collide stay apart: with names of two values only, groups are the same."""
+    rnd = random.Random(4)
+    base = [" ".join(f"w{rnd.randrange(10_000)}" for _ in range(60)) for _ in range(6)]
+    rows = [(f"r{k}", t) for k, t in enumerate(base + base[:2] + [base[2] + " mot"])]
+    df = spark.createDataFrame(rows, "id string, t string")
+    run = lambda: sorted(map(tuple, near_duplicates.near_duplicate_groups(df, "id", F.split("t", " "), n=3, threshold=0.8).collect()))
+    before = run()
+    monkeypatch.setattr(near_duplicates, "class_id", lambda c: F.pmod(F.xxhash64(c), F.lit(2)))
+    assert len(before) == 6 and run() == before
