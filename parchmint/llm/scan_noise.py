@@ -3,8 +3,8 @@
 Words are judged once per distinct form, with the counts of the whole collection: forms meet the more frequent words that
 share rare positional q-grams with them in an inverted join, and boosted trees, trained on words spoilt on purpose and on
 forms the recogniser itself doubted, rank these candidates against leaving the form as it is. Boosted trees on pairs of
-neighbouring lines, trained on words cut on purpose, decide where a word goes on in the next line. Furniture is decided by
-place, form and repetition in the document.
+neighbouring lines, trained on words cut on purpose, decide where a word goes on in the next line; others, on lines in the
+same place of a document's pages, tell titles and page numbers by form and place; a title must then be repeated.
 
 A dictionary of the most frequent words travels to the tasks. It only saves work: every word and pair it does not settle
 is joined with the counts of all forms by key.
@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchmint.llm.boosting import Boosted
@@ -183,7 +183,7 @@ class Ranker:
                 # a recogniser that was sure of one misreading was often sure of the next
                 some_sure = rare_sure[-max(1, len(rare_sure) // 5) :] if k <= 8 and rnd.random() < 0.2 else rare_sure
                 s = float(np.mean(rnd.choices(some_sure, k=int(min(k, 30))))) if rare_sure else 60.0
-                for c in {w, *near(form)}:
+                for c in sorted({w, *near(form)}):
                     cost = edit_cost(form, c)
                     if cost <= 2 and enough(k, words[c][0], cost):
                         learn(form, k, s, c, float(cost <= own))  # any word that explains the form as well
@@ -445,30 +445,117 @@ def page_lines(text: str | None) -> list[str]:
     return [t for t in (text or "").split("\n") if t.strip()]
 
 
-def _heads(batches):
-    for pdf in batches:
-        rows = []
-        for doc, page, text in zip(pdf["doc_id"], pdf["page_id"], pdf["text"]):
-            lines = page_lines(text)
-            for i in outer_lines(lines):
-                if like_title(lines[i]) and not _NUMBER.match(lines[i]):
-                    pure = not any(c.isdigit() for c in lines[i]) and not lines[i].isupper()
-                    if i == 0 and pure and len(lines) > 1 and like_title(lines[1]) and any(c.isdigit() for c in lines[1]):
-                        continue  # a sender above the title of its letter
-                    if i == 1 and like_title(lines[0]) and not any(c.isdigit() for c in lines[0]) and not _NUMBER.match(lines[0]):
-                        continue
+def title_features(lines: list[str], i: int) -> list[float]:
+    """Of a line as a title at the head or foot: its form, its place, and the neighbour inside the page."""
+    t = _WITH_NUMBER.sub("", lines[i]).strip()
+    words = t.split()
+    content = [w for w in words if len(w) > 3 and w[0].isalpha()]
+    near = lines[i + 1] if i + 1 < len(lines) and i < 2 else lines[i - 1] if i else ""
+    title, digits = like_title(lines[i]), any(c.isdigit() for c in t)
+    sender = i == 0 and title and not digits and not lines[i].isupper() and like_title(near) and any(c.isdigit() for c in near)
+    below = i == 1 and like_title(lines[0]) and not any(c.isdigit() for c in lines[0]) and not _NUMBER.match(lines[0])
+    return [
+        title, sender, below, len(words), len(t), sum(w[0].isupper() for w in content) / max(1, len(content)), t.isupper(), t[-1:] in ".,;:!?-‐¬", "," in t, digits, any(c in t for c in "|—·–"), t[:1].isupper() or t[:1].isdigit(),
+        any(c in t for c in "€£") or "EUR" in t, i, len(lines) - 1 - i, t != lines[i].strip(), bool(_NUMBER.match(lines[i])), like_title(near),
+    ]
+
+
+def number_features(lines: list[str], i: int) -> list[float]:
+    """Of a line as a page's number: its form and place."""
+    t = lines[i].strip()
+    digits, letters = sum(c.isdigit() for c in t), sum(c.isalpha() for c in t)
+    return [
+        bool(_NUMBER.match(t)), len(t.split()), len(t), digits, digits / max(1, len(t)), letters, "/" in t, t[:1] in "-–—[(", t[-1:] in "-–—])", t[-1:] in ".,;:", any(c in t for c in "€£,"), bool(re.search(r"\d{5}|\d[.,]\d", t)), i == 0, i == len(lines) - 1, t[:1].isupper(),
+    ]
+
+
+class Furniture:
+    """Tells titles and page numbers at the head and foot of pages by form and place, as pairs of lines teach it.
+
+    A line is a title for training if another page of its document has the same one on the same side, a page number if
+    another page has it there with another figure. Lines inside pages are neither. ``documents`` are the lines of the
+    pages of some documents; with too few of them the grammars decide alone.
+    """
+
+    def __init__(self, documents: list[list[list[str]]]):
+        titles: tuple[list, list] = ([], [])
+        numbers: tuple[list, list] = ([], [])
+        figures = lambda t: re.sub(r"(?<![^\W_])[\dOoIlSBZ|]{1,4}(?![^\W_])", "#", t.strip())
+        alone = lambda t: sum(c.isalpha() for c in t) <= 2 or not re.search(r"[^\W_]", _WITH_NUMBER.sub("", t)) or bool(_NUMBER.match(t))
+        for pages in documents:
+            seen: dict[tuple, set] = {}
+            for k, lines in enumerate(pages):
+                for i in outer_lines(lines):
+                    for kind, key in (("t", skeleton(lines[i])), ("n", figures(lines[i]))):
+                        seen.setdefault((kind, i < 2, key), set()).add((k, lines[i].strip().lower()))
+            for k, lines in enumerate(pages):
+                outer = set(outer_lines(lines))
+                for i in range(len(lines)):
+                    number = _figure_line(lines[i])
+                    if i in outer:
+                        alike = seen[("t", i < 2, skeleton(lines[i]))]
+                        titles[0].append(title_features(lines, i))
+                        titles[1].append(float(bool(skeleton(lines[i])) and not _NUMBER.match(lines[i]) and len({p for p, _ in alike}) > 1))
+                    if number:
+                        others = seen.get(("n", i < 2, figures(lines[i])), set()) if i in outer else set()
+                        numbers[0].append(number_features(lines, i))
+                        numbers[1].append(float(alone(lines[i]) and any(p != k and t != lines[i].strip().lower() for p, t in others)))
+        self.titles, self.numbers = (Boosted(rounds=40).fit(np.array(x, dtype=float), np.array(y)) if len(y) >= LEAST_TRAINING and sum(y) >= 10 and sum(y) < len(y) else None for x, y in (titles, numbers))
+
+    def title(self, rows: list[list[float]]) -> np.ndarray:
+        """Whether lines may be running titles; that they are repeated is to be seen yet, so a small chance is enough."""
+        x = np.array(rows, dtype=float)
+        return ((x[:, 0] > 0) & (x[:, 1] + x[:, 2] + x[:, 16] == 0)) if self.titles is None else (self.titles.predict(x) > MAYBE_TITLE) & (x[:, 16] == 0)
+
+    def number(self, rows: list[list[float]]) -> np.ndarray:
+        x = np.array(rows, dtype=float)
+        return x[:, 0] > 0 if self.numbers is None else self.numbers.predict(x) > 0.5
+
+
+MAYBE_TITLE = 0.1
+
+
+def _figure_line(line: str) -> bool:
+    """A short line with a figure, or what may be a misread one."""
+    return len(line.split()) <= 6 and len(line) <= 40 and bool(re.search(r"\d|(?<![^\W\d_])[OoIlSBZ|]{1,3}(?![^\W\d_])", line))
+
+
+def learn_furniture(pages: DataFrame, n: int = 1500) -> Furniture:
+    """From about ``n`` pages of documents with several, by a hash of the document; of a longer one ten pages at most."""
+    some = pages.where((F.length("text") > 0) & F.col("doc_id").isNotNull())
+    many = some.groupBy("doc_id").agg(F.count("*").alias("pages")).where("pages > 1")
+    total = many.agg(F.sum(F.least("pages", F.lit(10)))).first()[0] or 0
+    picked = many.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, int(total) // n))) == 0).select("doc_id").limit(n)
+    few = some.join(picked, "doc_id").withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_id"))).where("at <= 10")
+    documents: dict[str, list] = {}
+    for r in few.select("doc_id", "page_id", "text").limit(10 * n).collect():
+        documents.setdefault(r.doc_id, []).append((r.page_id, page_lines(r.text)))
+    return Furniture([[lines for _, lines in sorted(documents[d])] for d in sorted(documents)])
+
+
+def _heads(furniture: Furniture):
+    def run(batches):
+        for pdf in batches:
+            rows, x = [], []
+            for doc, page, text in zip(pdf["doc_id"], pdf["page_id"], pdf["text"]):
+                lines = page_lines(text)
+                for i in outer_lines(lines):
                     rows.append((doc, page, i, skeleton(lines[i])))
-        yield pd.DataFrame(rows, columns=["doc_id", "page_id", "line", "skeleton"])
+                    x.append(title_features(lines, i))
+            keep = furniture.title(x) if x else []
+            yield pd.DataFrame([r for r, ok in zip(rows, keep) if ok], columns=["doc_id", "page_id", "line", "skeleton"])
+
+    return run
 
 
-def running_headers(pages: DataFrame) -> DataFrame:
+def running_headers(pages: DataFrame, furniture: Furniture) -> DataFrame:
     """(page_id, line): title lines that stand at the head or foot of at least two pages of their document."""
-    heads = pages.where(F.length("text") > 0).select("doc_id", "page_id", "text").mapInPandas(_heads, "doc_id string, page_id string, line bigint, skeleton string").where("skeleton <> ''")
+    heads = pages.where(F.length("text") > 0).select("doc_id", "page_id", "text").mapInPandas(_heads(furniture), "doc_id string, page_id string, line bigint, skeleton string").where("skeleton <> ''")
     often = heads.groupBy("doc_id", "skeleton").agg(F.countDistinct("page_id").alias("pages")).where("pages > 1").select("doc_id", "skeleton")
     return heads.join(often, ["doc_id", "skeleton"]).select("page_id", "line").distinct()
 
 
-def _scan(known, usual):
+def _scan(known, usual, furniture: Furniture):
     """Per page: page numbers, headers, pairs of words that may be one cut word, and the words still to be judged.
 
     A word beside such a pair bears its line in ``before`` (the pair of the line above) or ``after`` (that of its own).
@@ -479,8 +566,10 @@ def _scan(known, usual):
         good, plain = known.value, usual.value
         for pdf in batches:
             rows = []
-            for page, text, heads in zip(pdf["page_id"], pdf["text"], pdf["heads"]):
-                lines = page_lines(text)
+            texts = [page_lines(t) for t in pdf["text"]]
+            figures = [(k, i) for k, lines in enumerate(texts) for i in outer_lines(lines) if _figure_line(lines[i])]
+            numbers = {at for at, yes in zip(figures, furniture.number([number_features(texts[k], i) for k, i in figures])) if yes} if figures else set()
+            for at, (page, lines, heads) in enumerate(zip(pdf["page_id"], texts, pdf["heads"])):
                 if not lines:
                     continue
                 words = [t.split() for t in lines]
@@ -489,7 +578,7 @@ def _scan(known, usual):
                 rows += [(page, i, "header", None, None, None, None) for i in heads]
                 for i in outer_lines(lines):
                     inner = i == 1 and 0 not in heads or i == n - 2 and i > 1 and n - 1 not in heads
-                    if i not in heads and not (inner and i not in (0, n - 1)) and _NUMBER.match(lines[i]):
+                    if i not in heads and not (inner and i not in (0, n - 1)) and (at, i) in numbers:
                         rows.append((page, i, "page_number", None, None, None, None))
                 maybe = {i for i in range(n - 1) if maybe_cut(words[i][-1], words[i + 1][0], good)}
                 rows += [(page, i, "pair", words[i][-1], words[i + 1][0], None, None) for i in maybe]
@@ -526,8 +615,8 @@ _PADDED = r"^[.,;:!?()\[\]{}«»\"“”„'’ …]+|[.,;:!?()\[\]{}«»\"“
 class Vocabulary:
     """What the collection's counts say about its words: all forms, and a dictionary of the most frequent ones.
 
-    Counts come from the texts of ``pages``, so words delivered twice do not count twice, and of words that stand in no page
-    from ``words``; so do all confidences. ``inside`` counts a form where it neither begins a line with a small letter nor stands
+    Counts come from the texts of ``pages``, so words delivered twice do not count twice; where ``words`` has a word more
+    than four times as often, or alone, it speaks of pages that are not at hand and its count holds. Confidences come from it. ``inside`` counts a form where it neither begins a line with a small letter nor stands
     before such a line: parts of cut words stand nowhere else, so a form never seen inside is no word that others could
     be misread from.
     """
@@ -541,7 +630,8 @@ class Vocabulary:
             seen = pages.where(F.length("text") > 0).select(F.explode(F.split(marked, r"(?U)\s+")).alias("w")).select(F.replace("w", F.lit(joint), F.lit("")).alias("text"), F.contains("w", F.lit(joint)).alias("edge"))
             seen = seen.where("text <> ''").groupBy("text").agg(F.count("*").alias("n"), F.count(F.when(~F.col("edge"), 1)).alias("inside"))
             seen = seen.withColumnsRenamed({"n": "seen", "inside": "seen_inside"})
-            raw = seen.join(raw, "text", "full").select("text", F.coalesce("seen", "n").alias("n"), F.coalesce("seen_inside", "inside").alias("inside"), "s", F.coalesce("c", F.lit(0)).alias("c"))
+            elsewhere = F.col("seen").isNull() | (F.coalesce("n", F.lit(0)) > 4 * F.col("seen"))
+            raw = seen.join(raw, "text", "full").select("text", F.when(elsewhere, F.col("n")).otherwise(F.col("seen")).alias("n"), F.when(elsewhere, F.col("inside")).otherwise(F.col("seen_inside")).alias("inside"), "s", F.coalesce("c", F.lit(0)).alias("c"))
         raw = cut_lineage(raw)
         forms = raw.withColumn("form", core_column(F.col("text"))).where("length(form) > 0")
         self.forms = cut_lineage(forms.groupBy("form").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"), (F.sum("s") / F.greatest(F.sum("c"), F.lit(1))).alias("sure")))
@@ -663,14 +753,15 @@ def _whole(batches):
 def _findings(pages: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(what is found on each line, words to be judged included; the replaced forms with their words)."""
     v = Vocabulary(words, pages)
-    heads = running_headers(pages).groupBy("page_id").agg(F.collect_set("line").alias("heads"))
+    furniture = learn_furniture(pages)
+    heads = running_headers(pages, furniture).groupBy("page_id").agg(F.collect_set("line").alias("heads"))
     lines = pages.where(F.length("text") > 0).select("page_id", "text").join(heads, "page_id", "left")
     ranker = Ranker(v.whole, v.rare_sure, v.sure_split)
     fixes = cut_lineage(corrections(v.forms, v, ranker))
     wrong = {r.form for r in fixes.join(v.forms.where(F.col("n") >= v.least), "form", "left_semi").select("form").collect()}
     good = {w: s for w, s in v.words.items() if w not in wrong}
     known = pages.sparkSession.sparkContext.broadcast(good)
-    found = cut_lineage(lines.mapInPandas(_scan(known, pages.sparkSession.sparkContext.broadcast(v.usual)), "page_id string, line bigint, noise string, form string, next string, before bigint, after bigint"))
+    found = cut_lineage(lines.mapInPandas(_scan(known, pages.sparkSession.sparkContext.broadcast(v.usual), furniture), "page_id string, line bigint, noise string, form string, next string, before bigint, after bigint"))
 
     clean = v.forms.join(fixes, "form", "left_anti").select("form", "n")
     counts = cut_lineage(clean.select(F.concat(F.lit("f"), "form").alias("k"), "n").union(_suspended(pages).select(F.concat(F.lit("m"), "form"), "n")))

@@ -450,3 +450,29 @@ def test_near_duplicates_with_equal_hashes(spark, monkeypatch):
     before = run()
     monkeypatch.setattr(near_duplicates, "class_id", lambda c: F.pmod(F.xxhash64(c), F.lit(2)))
     assert len(before) == 6 and run() == before
+
+
+def test_furniture_learned_from_pairs():
+    """Titles and numbers of unseen documents, other firms and styles, told from body lines and lone figures by form and place."""
+    rnd = random.Random(9)
+    words = "le technicien propose un rendez-vous pour la chaudière de notre immeuble avant la fin du trimestre avec votre accord écrit".split()
+    line = lambda: " ".join(rnd.choice(words) for _ in range(7)) + rnd.choice([".", ",", "", f" {rnd.randrange(99)}."])
+    body = lambda: [*(line() for _ in range(4)), rnd.choice([line(), str(rnd.randrange(99))]), *(line() for _ in range(3))]
+
+    def document(k: int) -> list[list[str]]:
+        title = rnd.choice([f"AGENCE DU PARC {k}", f"Cabinet Lormont | {k % 28 + 1:02}/05/2024", f"Relevé R-2024-{k:04}"])
+        style = rnd.choice(["- {} -", "Page {}", "{}/9", "[{}]", "p. {}"])
+        return [[title, *body(), style.format(p + 1)] if k % 2 else [style.format(p + 1), title, *body()] for p in range(3)]
+
+    learned = scan_noise.Furniture([document(k) for k in range(120)])
+    assert learned.titles is not None and learned.numbers is not None
+    right = total = 0
+    for k in range(500, 560):
+        for lines in document(k):
+            top = k % 2 == 0
+            number, title = (0, 1) if top else (len(lines) - 1, 0)
+            said = learned.title([scan_noise.title_features(lines, i) for i in range(len(lines))])
+            right += bool(said[title]) + sum(not said[i] for i in range(3, 7))
+            right += bool(learned.number([scan_noise.number_features(lines, number)])[0]) + (not learned.number([scan_noise.number_features([*lines[:4], "12", *lines[4:]], 4)])[0])
+            total += 7
+    assert right >= 0.95 * total, (right, total)
