@@ -22,11 +22,31 @@ KINDS = {
 }
 KIND_THRESHOLD, OWN_NAME, MOST_COUNTED = 4, 3, 3
 # Month names and short forms in five languages, unaccented, by month.
-MONTHS = [
-    "janvier janv jan january enero januar gennaio", "fevrier fev feb february febrero februar febbraio", "mars mar march marzo marz", "avril avr apr april abril aprile", "mai may mayo maggio", "juin jun june junio juni giugno",
-    "juillet juil jul july julio juli luglio", "aout aug august agosto", "septembre sept sep september septiembre settembre", "octobre oct october octubre oktober ottobre", "novembre nov november noviembre", "decembre dec december diciembre dezember dicembre",
-]
-_MONTH = {w: i for i, ws in enumerate(MONTHS, 1) for w in ws.split()}
+MONTHS = {
+    1: ["janvier", "janv", "jan", "january", "enero", "januar", "gennaio"],
+    2: ["fevrier", "fev", "feb", "february", "febrero", "februar", "febbraio"],
+    3: ["mars", "mar", "march", "marzo", "marz"],
+    4: ["avril", "avr", "apr", "april", "abril", "aprile"],
+    5: ["mai", "may", "mayo", "maggio"],
+    6: ["juin", "jun", "june", "junio", "juni", "giugno"],
+    7: ["juillet", "juil", "jul", "july", "julio", "juli", "luglio"],
+    8: ["aout", "aug", "august", "agosto"],
+    9: ["septembre", "sept", "sep", "september", "septiembre", "settembre"],
+    10: ["octobre", "oct", "october", "octubre", "oktober", "ottobre"],
+    11: ["novembre", "nov", "november", "noviembre"],
+    12: ["decembre", "dec", "december", "diciembre", "dezember", "dicembre"],
+}
+_MONTH = {w: k for k, names in MONTHS.items() for w in names}
+# Patterns of dates by signs, of ISO dates, of dates with a month's name (on unaccented lower case), of amounts, of the number
+# of an invoice, of legal forms, of a name behind the document's word, and of lines in capitals that are no name.
+DATE_BY_SIGNS = r"(?<![A-Za-z0-9_])(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})(?![A-Za-z0-9_])"
+DATE_ISO = r"(?<![A-Za-z0-9_])(20\d{2}|19\d{2})-(\d{1,2})-(\d{1,2})(?![A-Za-z0-9_])"
+DATE_BY_NAME = r"(?<![a-z0-9_])(\d{1,2})(?:er)?\.?\s+([a-z]{3,9})\.?\s+(\d{4})(?![a-z0-9_])"
+_AMOUNT = r"(-?\d{1,3}(?:[\s  .,']\d{3})*(?:[.,]\d{1,2})?|-?\d+(?:[.,]\d{1,2})?)"
+INVOICE_NUMBER = r"(?i)(?:facture|invoice|factura|rechnung|fattura|re[cç]u|ticket)\s*(?:n[°o.º]*|no\.?|num(?:ero|éro)?\.?|#|nr\.?)\s*:?\s*([A-Z0-9][A-Z0-9\-/_.]{2,24})"
+LEGAL_FORMS = r"(?i)(?<![a-z0-9_])(sas|sasu|sarl|eurl|sa|sci|snc|gmbh|ag|ltd|limited|inc|llc|s\.?p\.?a|s\.?r\.?l|s\.?l|bv|nv)(?![a-z0-9_])\.?"
+_HEAD = r"(?i)^(?:facture|invoice|factura|rechnung|fattura|re[cç]u|ticket)\s+(?!n[°o.º]|no\b|num|du\b|de\b|d['’])([A-Z][A-Za-z0-9&.'’ -]{1,30})$"
+_NOISE = r"(?i)^(facture|invoice|re[cç]u|ticket|devis|date|page|client|tel|t[ée]l[ée]phone|adresse|www\.|http)"
 _PLAIN = r"[̀-ͯ]"
 
 
@@ -65,9 +85,7 @@ def find_date(text: Column) -> Column:
     Plausible is month 1 to 12, day 1 to 31, year 1990 to 2100; the day isn't checked against the month. Null where none.
     """
     low = F.lower(unaccented(text))
-    hit = r"(?<![A-Za-z0-9_])(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})(?![A-Za-z0-9_])"
-    iso = r"(?<![A-Za-z0-9_])(20\d{2}|19\d{2})-(\d{1,2})-(\d{1,2})(?![A-Za-z0-9_])"
-    named = r"(?<![a-z0-9_])(\d{1,2})(?:er)?\.?\s+([a-z]{3,9})\.?\s+(\d{4})(?![a-z0-9_])"
+    hit, iso, named = DATE_BY_SIGNS, DATE_ISO, DATE_BY_NAME
     months = F.create_map(*[F.lit(x) for kv in _MONTH.items() for x in kv])
 
     def first(source: Column, found: Column, read) -> Column:
@@ -97,9 +115,6 @@ def find_date(text: Column) -> Column:
     return let(F.array_min(firsts), lambda best: F.when(best.isNotNull(), _iso(best["y"], best["m"], best["d"])))
 
 
-_AMOUNT = r"(-?\d{1,3}(?:[\s  .,']\d{3})*(?:[.,]\d{1,2})?|-?\d+(?:[.,]\d{1,2})?)"
-
-
 def amount_after(text: Column, labels: str) -> Column:
     """The last readable amount that follows one of the labels within 40 characters of its line."""
     pattern = rf"(?i)(?:{labels})[^\d\n-]{{0,40}}?{_AMOUNT}"
@@ -121,16 +136,10 @@ def currency(text: Column) -> Column:
 
 def invoice_number(text: Column) -> Column:
     """3 to 25 characters after the document's word, without a full stop at their end; null where none."""
-    p = r"(?i)(?:facture|invoice|factura|rechnung|fattura|re[cç]u|ticket)\s*(?:n[°o.º]*|no\.?|num(?:ero|éro)?\.?|#|nr\.?)\s*:?\s*([A-Z0-9][A-Z0-9\-/_.]{2,24})"
-    n = F.regexp_extract(text, p, 1)
+    n = F.regexp_extract(text, INVOICE_NUMBER, 1)
     return F.when(n != "", F.regexp_replace(n, r"\.$", ""))
 
 
-LEGAL_FORMS = r"(?i)(?<![a-z0-9_])(sas|sasu|sarl|eurl|sa|sci|snc|gmbh|ag|ltd|limited|inc|llc|s\.?p\.?a|s\.?r\.?l|s\.?l|bv|nv)(?![a-z0-9_])\.?"
-_HEAD = r"(?i)^(?:facture|invoice|factura|rechnung|fattura|re[cç]u|ticket)\s+(?!n[°o.º]|no\b|num|du\b|de\b|d['’])([A-Z][A-Za-z0-9&.'’ -]{1,30})$"
-_NOISE = r"(?i)^(facture|invoice|re[cç]u|ticket|devis|date|page|client|tel|t[ée]l[ée]phone|adresse|www\.|http)"
-
-
 def _lines(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda x: F.trim(x))
 
