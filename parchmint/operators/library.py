@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parchmint.functions.pages import extract_pages
 from parchmint.operators.hierarchy import may_move, name_is_free
-from parchmint.operators.repository import marked, trash
+from parchmint.operators.repository import marked, touch, trash
 
 
 # -- folders -------------------------------------------------------------------------------------------------------------
@@ -96,6 +96,6 @@ def extracted(title: Column, pages: Column, places: Column) -> Column:
     return F.when(F.size(own) > 0, F.struct(F.concat(title, label).alias("title"), own.alias("pages")))
 
 
-def keep_unlocked(docs: DataFrame, open_ids: DataFrame) -> DataFrame:
-    """Documents that may be shown: those without a lock, and locked ones whose key is at hand in this session."""
-    return marked(docs, open_ids).where(~F.coalesce("locked", F.lit(False)) | F.col("_hit")).drop("_hit")
+def keep_unlocked(docs: DataFrame, ids: DataFrame | list[str], at: str, flag: str = "relock_pending") -> DataFrame:
+    """Documents opened for a time stay open: the mark to lock them again is taken away, as a touching write."""
+    return touch(docs, ids, at, {flag: F.lit(None)})

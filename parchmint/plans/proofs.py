@@ -188,11 +188,11 @@ def extracted_pages(spark, d):
     return t.select("id", e.alias("e")).where("e is not null").select("id", "e.title", F.array_join(F.transform("e.pages", lambda p: p["id"]), ",").alias("pages"))
 
 
-@query(f"SELECT id, title FROM {DOCS} WHERE NOT coalesce(locked, false) OR favorite")
-def unlocked_documents(spark, d):
-    """What may be shown while the favourites' keys are at hand."""
-    cur = docs(spark, d)
-    return L.keep_unlocked(cur, cur.where("favorite").select("id")).select("id", "title")
+@query(f"SELECT id, CASE WHEN favorite THEN NULL ELSE locked END AS relock_pending, revision + CASE WHEN favorite THEN 1 ELSE 0 END AS revision FROM {DOCS}")
+def kept_unlocked(spark, d):
+    """Locked documents opened for a time; the favourites among them stay open."""
+    cur = docs(spark, d).withColumn("relock_pending", F.col("locked"))
+    return L.keep_unlocked(cur, cur.where("favorite").select("id"), AS_OF).select("id", "relock_pending", "revision")
 
 
 @query(f"SELECT id, array_to_string(list_filter(list_distinct(list_transform(coalesce(tags, []), lambda t: lower(trim(t)))), lambda t: t <> ''), '|') <> '' AS tagged, list_sort(list_filter(list_distinct(list_transform(coalesce(tags, []), lambda t: lower(trim(t)))), lambda t: t <> ''))::VARCHAR AS tags FROM {DOCS}")
