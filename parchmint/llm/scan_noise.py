@@ -421,6 +421,7 @@ def skeleton(line: str) -> str:
     return re.sub(r"\W+", " ", t.translate(_FOLD)).strip()
 
 
+@lru_cache(maxsize=10_000)
 def like_title(line: str) -> bool:
     """Short, without the marks of running text: capitals, capital words up to the last one, parts set off by bars or dashes, or a reference at the end."""
     t = _WITH_NUMBER.sub("", line).strip()
@@ -540,10 +541,10 @@ def _heads(furniture: Furniture):
             for doc, page, text in zip(pdf["doc_id"], pdf["page_id"], pdf["text"]):
                 lines = page_lines(text)
                 for i in outer_lines(lines):
-                    rows.append((doc, page, i, skeleton(lines[i])))
+                    rows.append((doc, page, i, lines[i]))
                     x.append(title_features(lines, i))
             keep = furniture.title(x) if x else []
-            yield pd.DataFrame([r for r, ok in zip(rows, keep) if ok], columns=["doc_id", "page_id", "line", "skeleton"])
+            yield pd.DataFrame([(*r[:3], skeleton(r[3])) for r, ok in zip(rows, keep) if ok], columns=["doc_id", "page_id", "line", "skeleton"])
 
     return run
 
