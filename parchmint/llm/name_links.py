@@ -1,7 +1,9 @@
 """Links typed names to a register by a pigeonhole segment join.
 
-A register entry is known by its rare words, its cores (a surname, an invented firm name): the rarest one, and all that
-at most 1 % of the entries have (two entries at least). Cores are cut into k + 1 segments; a typed word within k edits of a core holds one of them unchanged, shifted by no more than the edits beside it.
+A register entry is known by its rare words (a surname, an invented firm name): the rarest one, and all that ``FEW`` entries at
+most have. A name that shows an entry's words of ``FEW`` entries within their edits (or all words of an entry that has none such) goes
+to such an entry; any other name (``Plomberie Dup.``) is compared with every entry that has one of its words, however frequent.
+The words compared, the cores, are cut into k + 1 segments; a typed word within k edits of a core holds one of them unchanged, shifted by no more than the edits beside it.
 Typed words are looked up by such substrings in the inverted index of segments, and candidates are verified with a
 banded edit distance. The remaining words (trade or given name, legal form, town) then decide between candidates.
 """
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchmint.functions.text import normalize_py
+from parchmint.session import cut_lineage
 
 # Legal forms and their written-out variants.
 LEGAL = {"sarl": "sarl", "sas": "sas", "sa": "sa", "eurl": "eurl", "gmbh": "gmbh", "ltd": "ltd", "limited": "ltd", "srl": "srl", "sl": "sl", "spa": "spa", "ag": "ag", "kg": "kg", "inc": "inc", "llc": "llc", "plc": "plc", "sasu": "sasu", "snc": "snc", "ug": "ug", "slu": "slu", "sci": "sci"}
@@ -135,7 +138,7 @@ def agrees(word: str, full: str) -> float:
         return 0.1 if len(word) >= 3 else 0.15
     if len(word) >= 4 and damerau(word, full, 2) <= (1 if len(word) < 7 else 2):
         return 0.2
-    if len(word) >= 5 and any(len(n) >= 4 and damerau(word, n, 1) <= 1 and f == full for n, f in NICKNAMES.items()):
+    if len(word) >= 5 and any(f == full and len(n) >= 4 and damerau(word, n, 1) <= 1 for n, f in NICKNAMES.items()):
         return 0.25
     if 2 <= len(word) <= 6 and _skeleton_of(word, full):
         return 0.2
@@ -180,34 +183,68 @@ def parse(words: tuple[str, ...], towns: frozenset = frozenset()) -> dict:
     return {"legal": legal, "titles": titles, "adds": adds, "town": town, "rest": rest}
 
 
-def score(name: dict, entry: dict, core_word: str, distance: int, split: bool = False) -> float:
-    """Cost of linking a parsed name to a register entry through one of its words; 9 when something contradicts it.
+@lru_cache(maxsize=100_000)
+def _alone(w: str) -> float:
+    """Cost of a word that stands for none of the entry: a misread addition, legal form or title, or a letter; 9 for any other."""
+    if any(damerau(w, a, 2) <= (2 if len(w) > 5 else 1) for a in ADDITIONS if len(a) > 3) or len(w) == 1 or any(damerau(w, a, 1) <= 1 for a in LEGAL if len(a) > 3):
+        return 0.3
+    return 0.2 if any(damerau(w, a, 1) <= 1 for a in TITLES if len(a) > 4) else 9.0
 
-    Three edits must leave the first letter, and a word that only a guessed split has set free may have one edit.
-    """
-    if distance > 1 and split or distance > 2 and core_word[0] != entry["core"][0]:
+
+def _too_far(word: str, core: str, distance: int, split: bool) -> bool:
+    """Three edits must leave the first letter, and a word that only a guessed split has set free may have one edit."""
+    return distance > 1 and split or distance > 2 and word[0] != core[0]
+
+
+def _stands(word: str, full: str, rarest: str, split: bool) -> float:
+    """Cost of a word that stands for another word of the entry, 9 when it can't; the rarest one costs its edits, as it does as a core."""
+    if full == rarest and word != full:
+        d = damerau(word, full, _edits(len(full)))
+        if d <= _edits(len(full)):
+            return 9.0 if _too_far(word, full, d, split) else d
+    cost = agrees(word, full)
+    return cost if cost < 1 else 9.0
+
+
+def identified(name: dict, entry: dict, core_word: str, split: bool = False) -> bool:
+    """Whether a name met through a frequent word also shows a rare word of the entry: whole, or shortened unless a guessed split has set it free."""
+    left = list(name["rest"])
+    left.remove(core_word)
+    whole = any(w == r for w in left for r in entry["rare"])
+    return whole or not split and any(agrees(w, r) <= 0.15 or 2 <= len(w) <= 6 and _skeleton_of(w, r) for w in left for r in entry["rare"])
+
+
+def shows_all(name: dict, entry: dict, core_word: str) -> bool:
+    """Whether a name shows all other words of an entry within their edits."""
+    left = list(name["rest"])
+    left.remove(core_word)
+    return all(any(damerau(w, c, _edits(len(c))) <= _edits(len(c)) for w in left) for c in entry["rest"] if c != entry["core"])
+
+
+def score(name: dict, entry: dict, core_word: str, distance: int, split: bool = False) -> float:
+    """Cost of linking a parsed name to a register entry through one of its words; 9 when something contradicts it."""
+    if _too_far(core_word, entry["core"], distance, split):
         return 9.0
+    rarest = entry["rare"][0]
     left = list(name["rest"])
     left.remove(core_word)
     cost = distance + 0.5 * split
     context = [w for w in entry["rest"] if w != entry["core"]]
     for full in context:
-        best = min(((agrees(w, full), w) for w in left), default=(1.0, ""))
-        if best[0] < 1:
+        best = min(((_stands(w, full, rarest, split), w) for w in left), default=(9.0, ""))
+        if best[0] < 9:
             cost += best[0]
             left.remove(best[1])
-        elif "".join(left) and (agrees("".join(left), full) < 1 or full.endswith(left[-1])):
+        elif "".join(left) and (_stands("".join(left), full, rarest, split) < 9 or full != rarest and full.endswith(left[-1])):
             cost += 0.3
             left = []
         else:
             cost += 0.6
     for w in left:
-        if any(damerau(w, a, 2) <= (2 if len(w) > 5 else 1) for a in ADDITIONS if len(a) > 3) or len(w) == 1 or any(damerau(w, a, 1) <= 1 for a in LEGAL if len(a) > 3):
-            cost += 0.3
-        elif any(damerau(w, a, 1) <= 1 for a in TITLES if len(a) > 4):
-            cost += 0.2
-        else:
+        alone = _alone(w)
+        if alone == 9:
             return 9.0
+        cost += alone
     if name["legal"] and name["legal"] != entry["legal"]:
         cost += 1.6 if entry["legal"] else 3.0
     if name["adds"] - entry["adds"]:
@@ -223,7 +260,7 @@ def score(name: dict, entry: dict, core_word: str, distance: int, split: bool =
 MOST_COST = 4.0
 LEAST_LEAD = 0.05
 MOST_KNOWN = 50_000  # towns and repeated words of the register that are sent to the tasks; beyond, names meet them by key
-FEW = 3  # a word of so many entries at most can stand for each of them
+FEW = 3  # a word of so many entries at most stands for each of them before any more frequent one does
 _OWN = frozenset(LEGAL) | frozenset(TITLES) | frozenset(NICKNAMES) | frozenset(w for w in LINKS if len(w) > 1)
 
 
@@ -239,16 +276,25 @@ def _index(batches):
         yield pd.DataFrame(rows, columns=["key", "core"])
 
 
-def _pieces(batches):
-    """What of each name may be a known word (w) or a town (t): words, their beginnings and ends; the last words."""
-    for pdf in batches:
-        rows = []
-        for name in pdf["typed"]:
-            words = words_of(name)
-            got = {("w", x) for w in words for n in range(3, len(w) + 1) for x in (w[:n], w[-n:])}
-            got |= {("t", " ".join(words[k:])) for k in range(1, len(words))}
-            rows += [(name, k, x) for k, x in got]
-        yield pd.DataFrame(rows, columns=["typed", "kind", "piece"])
+def _pieces(longest: int):
+    """What of each name may be a known word (w) or a town (t), up to the length of the longest: words, their beginnings and ends; the last words, from the end of a word on."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for name in pdf["typed"]:
+                words = words_of(name)
+                got = {("w", x) for w in words for n in range(3, min(len(w), longest) + 1) for x in (w[:n], w[-n:])}
+                after = ""
+                for w in reversed(words):
+                    got |= {("t", w[-n:] + after) for n in range(1, min(len(w), longest - len(after)) + 1)}
+                    after = f" {w}{after}"
+                    if len(after) > longest:
+                        break
+                rows += [(name, k, x) for k, x in got]
+            yield pd.DataFrame(rows, columns=["typed", "kind", "piece"])
+
+    return run
 
 
 def _typed(towns: frozenset, known: frozenset):
@@ -285,11 +331,15 @@ def _verify(batches):
 
 def _judge(batches):
     parsed = lru_cache(maxsize=50_000)(lambda w, t: parse(tuple(w.split()), frozenset((t,)) if t else frozenset()))
-    entry = lru_cache(maxsize=50_000)(lambda w, t, c: parse(tuple(w.split())) | {"town": t, "core": c})
+    entry = lru_cache(maxsize=50_000)(lambda w, t, c, r: parse(tuple(w.split())) | {"town": t, "core": c, "rare": r.split()})
     for pdf in batches:
-        cost = [score(parsed(n, o), entry(w, t, c), x, d, g) for n, o, w, t, c, x, d, g in zip(pdf["words"], pdf["own_town"], pdf["entry"], pdf["town"], pdf["core"], pdf["word"], pdf["distance"], pdf["split"])]
-        out = pdf[["typed", "id"]].assign(cost=cost)
-        yield out[out["cost"] <= MOST_COST]
+        pairs = [(parsed(n, o), entry(w, t, c, r), x, d, g) for n, o, w, t, c, r, x, d, g in zip(pdf["words"], pdf["own_town"], pdf["entry"], pdf["town"], pdf["core"], pdf["rare"], pdf["word"], pdf["distance"], pdf["split"])]
+        out = pdf[["typed", "first", "last"]].assign(cost=[score(*p) for p in pairs])
+        near = out["cost"] <= MOST_COST
+        pairs = [p for p, k in zip(pairs, near) if k]
+        weak = [n > FEW and (least <= FEW or not shows_all(*p[:3])) for p, n, least in zip(pairs, pdf["n"][near], pdf["least"][near])]
+        unsure = [e["core"] not in e["rare"] and not identified(n, e, x, g) for n, e, x, _, g in pairs]
+        yield out[near].assign(weak=weak, unsure=unsure)
 
 
 def _typed_words(names: DataFrame, towns: DataFrame, known: DataFrame) -> DataFrame:
@@ -300,36 +350,53 @@ def _typed_words(names: DataFrame, towns: DataFrame, known: DataFrame) -> DataFr
     if len(rows) <= MOST_KNOWN:
         few = {k: frozenset(r.piece for r in rows if r.kind == k) for k in "tw"}
         return names.withColumn("met", F.lit(None).cast("array<struct<kind:string,piece:string>>")).mapInPandas(_typed(few["t"], _OWN | few["w"]), schema)
-    met = names.mapInPandas(_pieces, "typed string, kind string, piece string").join(table, ["kind", "piece"]).groupBy("typed").agg(F.collect_list(F.struct("kind", "piece")).alias("met"))
+    longest = table.agg(F.max(F.length("piece"))).first()[0]
+    met = names.mapInPandas(_pieces(longest), "typed string, kind string, piece string").join(table, ["kind", "piece"]).groupBy("typed").agg(F.collect_list(F.struct("kind", "piece")).alias("met"))
     return names.join(met, "typed", "left").mapInPandas(_typed(frozenset(), _OWN), schema)
 
 
+def _linked(typed: DataFrame, entries: DataFrame) -> DataFrame:
+    """(typed, first, last, weak, cost, unsure): every entry that has a word within the allowed edits of a word of the name and that nothing in the name contradicts."""
+    index = entries.select("core").distinct().mapInPandas(_index, "key string, core string")
+    met = typed.select("word").distinct().mapInPandas(_probe, "key string, word string").join(index, "key").select("word", "core").distinct()
+    near = met.mapInPandas(_verify, "word string, core string, distance int")
+    cand = typed.join(near, "word").join(entries, "core").select("typed", "words", "word", "split", "own_town", "distance", "first", "last", "entry", "town", "core", "rare", "n", "least")
+    judged = cand.mapInPandas(_judge, "typed string, first bigint, last bigint, cost double, weak boolean, unsure boolean")
+    return judged.groupBy("typed", "first", "last").agg(F.min(F.struct("weak", "cost", "unsure")).alias("b")).select("typed", "first", "last", "b.*")
+
+
 def link_names(names: DataFrame, register: DataFrame) -> DataFrame:
     """(typed, id, cost): the register entry that each distinct name of ``names`` (column ``typed``) refers to.
 
     ``register`` has id bigint, name, town. A name equal to an entry's name goes to that entry (the smallest id of equal
-    entries). Names whose two best entries cost the same are linked to none, as are null, blank and unknown names.
-    Repeated names are linked once, so a company with many invoices costs no more than one with few.
+    entries). Names whose two best entries cost the same are linked to none, as are null, blank and unknown names, and names
+    that show only frequent words of their best entry. Repeated names are linked once, so a company with many invoices costs
+    no more than one with few; entries of the same words and town are judged once.
     """
     names = names.where(F.length(F.trim("typed")) > 0).select("typed").distinct()
     register = register.where(F.col("name").isNotNull()).select("id", "name", "town")
     same = names.join(register.groupBy("name").agg(F.min("id").alias("id")), names["typed"] == F.col("name")).select("typed", "id", F.lit(0.0).alias("cost"))
     entries = register.select("id", "name", F.coalesce("town", F.lit("")).alias("town")).mapInPandas(_register_words, "id bigint, words string, rest array<string>, town string")
-    exploded = entries.select("id", F.posexplode("rest").alias("at", "word"))
-    count = exploded.groupBy("word").agg(F.countDistinct("id").alias("n"))
-    ranked = exploded.join(count, "word").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", (-F.col("at")).alias("at"), "word"))).alias("w"))
-    core = ranked.select("id", F.explode(F.concat(F.slice("w", 1, 1), F.filter(F.slice("w", 2, 100), lambda x: x["n"] <= FEW))).alias("c")).select("id", F.col("c.word").alias("core")).distinct()
-    entries = entries.join(core, "id").select("id", F.col("words").alias("entry"), "town", "core")
-    index = entries.select("core").distinct().mapInPandas(_index, "key string, core string")
-    typed = _typed_words(names, entries, count.where("n > 1 and length(word) > 2"))
-    met = typed.select("word").distinct().mapInPandas(_probe, "key string, word string").join(index, "key").select("word", "core").distinct()
-    near = met.mapInPandas(_verify, "word string, core string, distance int")
-    cand = typed.join(near, "word").join(entries, "core").select("typed", "words", "word", "split", "own_town", "distance", "id", "entry", "town", "core")
-    judged = cand.mapInPandas(_judge, "typed string, id bigint, cost double").groupBy("typed", "id").agg(F.min("cost").alias("cost"))
+    entries = entries.groupBy("words", "rest", "town").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    exploded = entries.select("words", "town", "first", "last", F.posexplode("rest").alias("at", "word"))
+    count = exploded.groupBy("word").agg(F.countDistinct("words", "town").alias("n"))
+    ranked = exploded.join(count, "word").groupBy("words", "town", "first", "last").agg(F.sort_array(F.collect_list(F.struct("n", (-F.col("at")).alias("at"), "word"))).alias("w"))
+    rare = F.array_distinct(F.filter("w", lambda x, at: (at == 0) | (x["n"] <= FEW))["word"])
+    cores = F.array_distinct(F.transform("w", lambda x: F.struct(x["word"].alias("core"), x["n"].alias("n"))))
+    entries = ranked.select(F.col("words").alias("entry"), "town", "first", "last", rare.alias("rares"), F.col("w")[0]["n"].alias("least"), F.explode(cores).alias("c"))
+    entries = entries.select("entry", "town", "first", "last", "least", "c.*", F.array_join("rares", " ").alias("rare"), F.array_contains("rares", F.col("c.core")).alias("own"))
+    todo = names.join(same, "typed", "left_anti")
+    typed = cut_lineage(_typed_words(todo, entries, count.where("n > 1 and length(word) > 2")))
+    strong = cut_lineage(_linked(typed, entries.where("own")).where("not weak"))
+    others = typed.join(strong.select("typed").distinct(), "typed", "left_anti")
+    # Through words of FEW entries the others have met nothing, so only the more frequent words are left to try.
+    judged = strong.union(_linked(others, entries.where(F.col("n") > FEW))).select("typed", F.explode(F.array("first", "last")).alias("id"), "cost", "unsure")
+    judged = judged.groupBy("typed", "id").agg(F.min(F.struct("cost", "unsure")).alias("b")).select("typed", "id", "b.*")
+    # The two best tell whether the best one stands alone; no other takes part in that.
     two = judged.withColumn("rank", F.row_number().over(Window.partitionBy("typed").orderBy("cost", "id"))).where("rank <= 2")
-    best = two.groupBy("typed").agg(F.min(F.struct("cost", "id")).alias("b"), F.max("cost").alias("second"), F.count("*").alias("n"))
-    clear = best.where((F.col("n") == 1) | (F.col("second") - F.col("b.cost") >= LEAST_LEAD)).select("typed", "b.id", "b.cost")
-    return same.union(clear.join(same, "typed", "left_anti"))
+    best = two.groupBy("typed").agg(F.min(F.struct("cost", "id", "unsure")).alias("b"), F.max("cost").alias("second"), F.count("*").alias("n"))
+    clear = best.where(~F.col("b.unsure") & ((F.col("n") == 1) | (F.col("second") - F.col("b.cost") >= LEAST_LEAD))).select("typed", "b.id", "b.cost")
+    return same.union(clear)
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:

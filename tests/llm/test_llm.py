@@ -440,6 +440,27 @@ def test_names_beyond_what_is_sent(spark, monkeypatch):
     assert before and {r.typed: r.id for r in name_links.link_names(names, reg).collect()} == before
 
 
+def test_names_beyond_what_is_sent_with_glued_towns(spark, monkeypatch):
+    """A town that runs into the word before it is found by key as well."""
+    reg = spark.createDataFrame([(1, "Garage Ostvert", "Weidental"), (2, "Garage Weidental", "Mirelles"), (3, "Papeterie Weidental Corbergix", "Aubrelay")], "id bigint, name string, town string")
+    names = spark.createDataFrame([("Ostvert garageweidental",), ("x" * 3_000,)], "typed string")
+    for most in (name_links.MOST_KNOWN, 0):
+        monkeypatch.setattr(name_links, "MOST_KNOWN", most)
+        assert [(r.typed, r.id) for r in name_links.link_names(names, reg).collect()] == [("Ostvert garageweidental", 1)]
+
+
+def test_names_through_frequent_words(spark):
+    """Words of more than ``FEW`` entries lead to all entries that have them, and a name that shows nothing else goes to none of them."""
+    firms = ["Plomberie Dupontelli", "Plomberie Garnavere", "Plomberie Mercadaloux", "Plomberie Vassertin", "Plomberie Lombrecht SA", "Jean Martin", "Jean Ruszannac", "Jean Corbergix", "Jean Belferuera", "Paul Martin", "Hugues Martin", "Luc Martin", "Yvonne Martin"]
+    reg = spark.createDataFrame([(k, n, None) for k, n in enumerate(firms)] + [(20, "Yvonne Martin", None)], "id bigint, name string, town string")
+    want = {
+        "Plomberie Dup.": 0, "PLOMB. Garnaverre": 1, "Plomberie, Merc.": 2, "plomberie vsstn": 3, "Jean Martin SA": 5, "martin, hug.": 10, "Yvonne Martin": 12,
+        "J. Martyn": 5, "Jean Martyn": 5, "Jean": None, "Plomberie": None, "Plomberie SA": None, "J. Ru": None, "Plomberie Zorglub": None, "Plomberie Dupund": None, "Y. Martin": None,
+    }
+    got = {r.typed: r.id for r in name_links.link_names(spark.createDataFrame([(k,) for k in want], "typed string"), reg).collect()}
+    assert got == {k: v for k, v in want.items() if v is not None}
+
+
 def test_near_duplicates_with_equal_hashes(spark, monkeypatch):
     """Different sets whose names collide stay apart: with names of two values only, groups are the same."""
     rnd = random.Random(4)
